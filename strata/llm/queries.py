@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, exact_dedup, simhash, toxicity
+from strata.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
 from strata.llm.common import table
 
 
@@ -36,8 +36,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op4_toxicity, op7_simhash)
+    f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op4_toxicity, op7_simhash, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {
