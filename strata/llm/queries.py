@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
+from strata.llm import bpe, decontaminate, exact_dedup, simhash, substrings, toxicity
 from strata.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op4_toxicity, op7_simhash, op10_decontamination)
+    f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op4_toxicity, op6_substring_dedup, op7_simhash, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {
@@ -55,4 +59,22 @@ ORACLES: dict[str, str] = {
                    count(*) OVER (PARTITION BY text_sha256) AS group_size
             FROM d)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g""",
+    "op6_substring_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        v AS (
+            SELECT r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h
+            FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        c AS (SELECT h FROM v GROUP BY h HAVING count(*) > 1),
+        g AS (SELECT DISTINCT r, i + k AS pos FROM (SELECT r, i, unnest(range(0, 35)) AS k FROM v SEMI JOIN c USING (h))),
+        x AS (SELECT r, list(pos) AS gone FROM g GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+               sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ')
+                           ELSE coalesce(k.kept, '') END) AS kept_sha256
+        FROM d LEFT JOIN x USING (r)
+        LEFT JOIN (SELECT r, string_agg(word, ' ' ORDER BY pos) AS kept
+                   FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d WHERE len(w) >= 35) ANTI JOIN g USING (r, pos)
+                   GROUP BY r) k USING (r)""",
 }
