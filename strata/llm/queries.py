@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, decontaminate, exact_dedup, simhash, substrings, toxicity
+from strata.llm import bpe, decontaminate, exact_dedup, html_text, simhash, substrings, toxicity, url_filter, warc
 from strata.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -40,12 +44,25 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.fit(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op4_toxicity, op6_substring_dedup, op7_simhash, op10_decontamination)
+    f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_html_text, op4_toxicity, op6_substring_dedup, op7_simhash, op8_warc, op9_url_filter, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +94,20 @@ ORACLES: dict[str, str] = {
         LEFT JOIN (SELECT r, string_agg(word, ' ' ORDER BY pos) AS kept
                    FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d WHERE len(w) >= 35) ANTI JOIN g USING (r, pos)
                    GROUP BY r) k USING (r)""",
+    "op8_warc": r"""
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) || '0' AS hex,
+                   regexp_extract(coalesce(url, ''), '^(?:.*?://)?([^#]*)', 1) AS u
+            FROM pages),
+        g AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first_id FROM p),
+        h AS (SELECT *, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, string_split(u, '/') AS s FROM g)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+                   (((strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 1 AS INT), 1)) - 1) * 16
+                     + strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 2 AS INT), 1)) - 1)
+                    // CAST(pow(2, 3 - 5 * i % 4) AS INT)) % 32 AS INT), 1)), '') AS payload_digest,
+               CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to,
+               array_to_string(list_reverse(string_split(lower(s[1]), '.')), ',') || ')' || substr(u, length(s[1]) + 1) AS url_key,
+               strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
+        FROM h""",
 }
