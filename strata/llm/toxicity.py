@@ -201,23 +201,26 @@ class Reader:
 
 def choose(texts: list[str], toxic: np.ndarray) -> list[str]:
     """Landmarks: word beginnings and words that cover toxic documents not covered yet and are rare in clean ones."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    docs: list[set[str]] = []
-    copies = set()
-    for text, label in zip(texts, toxic, strict=True):
-        read = words_of(text)
-        least = min((crc32(f"{a} {b}".encode()) for a, b in zip(read, read[1:], strict=False)), default=-1)
-        if (least, label) in copies:  # what only copies of one document share doesn't mark anything
-            continue
-        copies.add((least, label))
-        words = {w for w in map(plain, read) if len(w) >= ORDER}
-        parts = {w[:k] for w in words for k in range(ORDER, min(len(w), LONGEST) + 1)}
-        seen[int(label)].update(parts)
-        if label:
-            docs.append(parts)
-    n_clean = max(1, len(copies) - len(docs))
-    strong = {s for s, c in seen[1].items() if c >= 3 and c / max(1, len(docs)) > 20 * (seen[0][s] + 0.5) / n_clean}
-    strong = {s for s in strong if seen[1][s] >= max(3, len(docs) // 50)}
+    copies: tuple[set, set] = (set(), set())
+
+    def parts(label: bool) -> Iterator[set[str]]:
+        for text in (t for t, y in zip(texts, toxic, strict=True) if y == label):
+            read = words_of(text)
+            least = min((crc32(f"{a} {b}".encode()) for a, b in zip(read, read[1:], strict=False)), default=-1)
+            if least in copies[label]:  # what only copies of one document share doesn't mark anything
+                continue
+            copies[label].add(least)
+            words = {w for w in map(plain, read) if len(w) >= ORDER}
+            yield {w[:k] for w in words for k in range(ORDER, min(len(w), LONGEST) + 1)}
+
+    marked = Counter(s for d in parts(True) for s in d)
+    bound = max(3, len(copies[1]) // 50)
+    marked = Counter({s: c for s, c in marked.items() if c >= bound})
+    copies[1].clear()
+    docs = [d & marked.keys() for d in parts(True)]
+    plain_ = Counter(s for d in parts(False) for s in d & marked.keys())
+    n_clean = max(1, len(copies[0]))
+    strong = {s for s, c in marked.items() if c / max(1, len(docs)) > 20 * (plain_[s] + 0.5) / n_clean}
     open_, out = [d & strong for d in docs], []
     while len(out) < LANDMARKS:
         cover = Counter(s for d in open_ for s in d)
