@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bpe, decontaminate, exact_dedup, html_text, simhash, substrings, toxicity, url_filter, warc
+from strata.llm import bpe, decontaminate, exact_dedup, html_text, pii, simhash, substrings, toxicity, url_filter, warc
 from strata.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_html_text, op4_toxicity, op6_substring_dedup, op7_simhash, op8_warc, op9_url_filter, op10_decontamination)
+    f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_html_text, op4_toxicity, op5_pii_surrogates, op6_substring_dedup, op7_simhash, op8_warc, op9_url_filter, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {

@@ -1,0 +1,68 @@
+"""Surrogates: consistency, format and distinctness."""
+
+import random
+import re
+
+from strata.llm import pii
+
+SCHEMA = "doc_id long, text string, id long, map string"
+
+
+def run(spark, rows, **kw):
+    got = pii.replace(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(2), **kw).collect()
+    return {r.doc_id: (r.text, r.n_entities) for r in got}, got
+
+
+def shape(text):
+    return re.sub(r"[0-9]", "9", re.sub(r"[A-Z]", "A", re.sub(r"[a-zà-ÿ]", "a", text)))
+
+
+def test_each_kind(spark):
+    rows = [
+        (1, "Write to anna.b+x@mail.example.com or ANNA.B+X@MAIL.EXAMPLE.COM, not @home."),
+        (2, "Call +1 (243) 555-5526 or (243) 555-5527; again 1 243 and +12435555526."),
+        (3, "Host 10.20.30.40, not 1.2.3.4.5 or 256.1.1.1, version 1.2.3."),
+        (4, "Card 4111 1111 1111 1111 and 4417744280351547; no card 12345678901234567."),
+        (5, 'token = "abe29cfcdae4f03e1e339fcaa4c5bb6c83baff71" TOKEN = "ABE29CFCDAE4F03E1E339FCAA4C5BB6C83BAFF71"'),
+        (6, "SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00."),
+        (7, "Mrs. Joan Miller met Mr Miller, Mrs. Joan Miller and Dr Ada Byron; Госпожа Анна Иванова."),
+        (8, "anna.b+x@mail.example.com"),
+        (9, None),
+        (10, "Nothing here. 2024-01-02 12:30 $5.00"),
+        (None, "anna.b+x@mail.example.com"),
+        (8, "anna.b+x@mail.example.com"),
+        (11, "x" * 50_000 + " a@b.co " + "9" * 20_000),
+    ]
+    by, got = run(spark, rows)
+    assert len(got) == len(rows) and by[9] == ("", 0) and by[10] == (rows[9][1], 0)
+    counts = {i: n for i, (_, n) in by.items()}
+    assert counts == {1: 2, 2: 3, 3: 1, 4: 2, 5: 2, 6: 2, 7: 5, 8: 1, 9: 0, 10: 0, None: 1, 11: 1}
+    for i, t in rows:
+        if counts[i] and i not in (3, 5, 7, 11):
+            assert shape(by[i][0]) == shape(t) and by[i][0] != t
+    mail = by[8][0]
+    assert by[None][0] == mail and by[1][0] == f"Write to {mail} or {mail.upper()}, not @home." and mail.endswith(".com")
+    a, b, c = re.findall(r"(?:\+\d+ )?\(\d+\) \d+-\d+|\+\d+", by[2][0])
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", c) != re.sub(r"\D", "", b)
+    ip = re.fullmatch(r"Host (\d+)\.(\d+)\.(\d+)\.(\d+), not 1\.2\.3\.4\.5 or 256\.1\.1\.1, version 1\.2\.3\.", by[3][0])
+    assert all(int(x) < 256 for x in ip.groups())
+    luhn = lambda s: sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(s))) % 10 == 0
+    assert luhn(re.sub(r"\D", "", by[4][0].split("and")[0]))
+    low, up = re.findall(r'"(\w+)"', by[5][0])
+    assert low.upper() == up and re.fullmatch("[0-9a-f]{40}", low)
+    names = re.fullmatch(r"Mrs\. ((\w+) \w+) met Mr (\w+), Mrs\. ((\w+) \w+) and Dr (\w+) \w+; Госпожа ([а-яё]+) [а-яё]+\.", by[7][0], re.I)
+    assert names[1] == names[4] and names[2].lower() in pii.FIRST["f"] and names[6].lower() in pii.FIRST["n"] and names[7].lower() in pii.FIRST["cf"]
+    assert run(spark, rows)[0] == by and run(spark, rows, key="other")[0][8] != by[8]
+    assert pii.replace(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_distinct_entities_stay_distinct(spark):
+    pick = random.Random(4)
+    mails = sorted({f"{a}{b}@c.de" for a in "abcdefghijkl" for b in "mnopqrstuvwx"})  # surrogates meet often in 26 x 26 x 26
+    rows = [(i, f"{m} and {pick.choice(mails)}") for i, m in enumerate(mails)]
+    by, _ = run(spark, rows)
+    new = {}
+    for (i, old), m in zip(rows, mails, strict=True):
+        for x, y in zip(old.split(" and "), by[i][0].split(" and "), strict=True):
+            assert new.setdefault(x, y) == y
+    assert len(set(new.values())) == len(mails) and not set(new.values()) & set(mails)
