@@ -1 +1 @@
-
+"""Relational operators: data frames in, data frames out."""

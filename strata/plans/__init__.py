@@ -1 +1 @@
-
+"""Tables, ledgers and the layered pipeline."""

@@ -1 +1,6 @@
+"""Where rows come from."""
 
+from strata.sources.files import archive, jdbc, pending, read_file
+from strata.sources.xlsx import XlsxSource, register, write_xlsx
+
+__all__ = ["XlsxSource", "archive", "jdbc", "pending", "read_file", "register", "write_xlsx"]
