@@ -68,6 +68,7 @@ def test_query_rows(spark):
     bare = tox.fit(docs, labels.limit(0))
     assert {r.predicted for r in tox.score(docs, bare).collect()} == {0}
     assert tox.score(docs.limit(0), model).count() == 0
+    assert tox.score(docs, tox.fit(docs.limit(0), labels)).where("predicted = 1").count() == 0
     # Labels of held-out rows change nothing.
     flipped = labels.withColumn("toxic", tox.F.when(tox.held_out(), 1 - tox.F.col("toxic")).otherwise(tox.F.col("toxic")))
     again = tox.fit(docs, flipped)
