@@ -1,7 +1,7 @@
 """Ordered rule chains in one pass.
 
 Each row gets the name of the first rule that it fails. A uniqueness rule counts only rows that passed the rules before
-it, so it is a count over a window of its columns; all rows of a repeated value fail. A condition that is NULL is an
+it; all rows of a repeated value fail. A condition that is NULL is an
 unknown outcome: such rows are neither valid nor rejected, or rejected under null_policy="strict".
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.specs import Rule
@@ -26,21 +26,22 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
 
 
 def tag(df: DataFrame, rules: Iterable[Rule], null_policy: str = "parity") -> DataFrame:
-    """Add FAILED: NULL for valid rows. Consecutive conditions are one projection; a uniqueness rule adds one shuffle."""
+    """Add FAILED: NULL for valid rows. Consecutive conditions are one projection; a uniqueness rule adds a count of its keys and a join."""
     if null_policy not in ("parity", "strict"):
         raise ValueError(f"null_policy is parity or strict, not {null_policy}")
     df = df.withColumn(FAILED, F.lit(None).cast("string"))
     for rule in rules:
         if rule.unique:
-            alive = F.col(FAILED).isNull()
-            key: Column = F.lit(True)
-            for c in rule.unique:
-                key = key & F.col(c).isNotNull()
-            # Keys are salted where they are NULL, as such rows are never repeated and would all meet in one task.
-            salt = F.when(key, F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(1024)) + 1)
-            df = df.withColumn("_salt", salt.cast("int"))
-            copies = F.count(F.when(F.col(FAILED).isNull(), 1)).over(Window.partitionBy("_salt", *rule.unique))
-            df = df.withColumn("_copies", copies).withColumn(FAILED, F.when(alive & key & (F.col("_copies") > 1), rule.name).otherwise(F.col(FAILED))).drop("_copies", "_salt")
+            # Only keys move, counted before they do; rows then meet the repeated keys in a join that can be broadcast
+            # or split, so a key with very many rows isn't in one task.
+            names = [f"_key_{i}" for i in range(len(rule.unique))]
+            alive = df.where(F.col(FAILED).isNull()).select(*(F.col(c).alias(n) for c, n in zip(rule.unique, names, strict=True)))
+            many = alive.na.drop().groupBy(*names).agg(F.count("*").alias("_copies")).where("_copies > 1")
+            same = F.lit(True)
+            for c, n in zip(rule.unique, names, strict=True):
+                same = same & (F.col(c) == F.col(n))
+            df = df.join(many, same, "left")
+            df = df.withColumn(FAILED, F.when(F.col(FAILED).isNull() & F.col("_copies").isNotNull(), rule.name).otherwise(F.col(FAILED))).drop("_copies", *names)
         else:
             passes = rule.passes()
             unknown = rule.name if null_policy == "strict" else UNKNOWN + rule.name

@@ -20,7 +20,7 @@ from strata.plans.ledger import Ledger
 from strata.plans.pipeline import Layers
 from strata.plans.scratch import folder
 from strata.plans.store import TableStore
-from strata.sources import read_file, write_xlsx
+from strata.sources import jdbc, read_file, write_xlsx
 from strata.specs import Dimension, Fact, Lookup, Pipeline, in_domain, not_after, not_null, unique
 from strata.streaming import ingest
 
@@ -520,6 +520,32 @@ def q_xlsx_roundtrip(spark, sf_dir):
     return spark.createDataFrame(df.collect(), df.schema)
 
 
+@query("SELECT CAST(n_nationkey AS INT) AS id, n_name AS name FROM nation WHERE n_nationkey >= 5")
+def q_jdbc_roundtrip(spark, sf_dir):
+    """Through Derby, which runs in the driver's JVM and comes with Spark. The filter is pushed to the database."""
+    url, driver = f"jdbc:derby:{tempfile.mkdtemp(prefix='strata-')}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name"))
+    nations.write.format("jdbc").option("url", url).option("dbtable", "nations").option("driver", driver).save()
+    df = jdbc(spark, url, "nations", driver).where("id >= 5")
+    return spark.createDataFrame(df.collect(), df.schema)  # 20 rows, free of the temporary database
+
+
+@query(f"WITH {BATCHES} SELECT count(*) AS fact_rows, 'FAILED,SUCCESS' AS gold_states FROM b1")
+def q_resume(spark, sf_dir):
+    """A run that fails in the last layer and, run again, does that layer only."""
+    root, states = folder(spark), []
+    layers = Layers(spark, MEDALLION, root, Ledger(Path(tempfile.mkdtemp()) / "ledger.json"))
+    df, gold = before(admissions(spark, sf_dir), CUT), layers.gold
+    layers.gold = lambda: (_ for _ in ()).throw(OSError("lost"))
+    for _ in range(2):
+        try:
+            layers.run(df, "batch_1")
+        except OSError:
+            layers.gold = gold
+        states.append(layers.ledger.status("batch_1", "gold"))
+    return layers.store.read("fact_admission").agg(F.count("*").alias("fact_rows")).withColumn("gold_states", F.lit(",".join(states)))
+
+
 @query(f"WITH {ADM} SELECT episode_id, ward FROM adm")
 def q_stream_ingest(spark, sf_dir):
     root = folder(spark)
