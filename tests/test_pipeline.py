@@ -116,6 +116,16 @@ def test_failed_gate_changes_no_table_and_run_resumes(spark, tmp_path, monkeypat
     assert own.store.read("fact").count() == 2 and own.ledger.complete("b2")
 
 
+def test_first_batch_that_fails_the_gate_can_be_mended(spark, tmp_path):
+    own = layers(spark, tmp_path)
+    late = (*E2[:8], dt.date(2050, 1, 1), E2[9])
+    with pytest.raises(quality.QualityError):
+        own.run(spark.createDataFrame([late], COLUMNS), "b1")
+    assert own.store.read("fact").count() == 0 and own.store.read("dim_patient").count() == 0
+    own.run(spark.createDataFrame([E2], COLUMNS), "b2")
+    assert own.store.read("fact").count() == 1 and own.store.read("dim_patient").first().patient_key == 1
+
+
 def test_rejected_schema_stops_before_anything_is_written(spark, tmp_path):
     own = layers(spark, tmp_path)
     own.run(spark.createDataFrame([E1], COLUMNS), "b1")
