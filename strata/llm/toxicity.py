@@ -156,8 +156,8 @@ def words_of(text: str) -> list[str]:
 class Reader:
     """Turns texts into the sentences that have any similarity, remembering distinct words."""
 
-    def __init__(self, landmarks: Landmarks):
-        self.landmarks = landmarks
+    def __init__(self, landmarks: Landmarks, memo: int = MEMO):
+        self.landmarks, self.most = landmarks, memo
         self.clear()
 
     def clear(self) -> None:
@@ -169,7 +169,7 @@ class Reader:
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Similarities of sentences, and the text that each is from."""
         words = [words_of(t) for t in texts]
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.clear()
         new = list(set().union(*words).difference(self.memo))
         if new:
@@ -302,7 +302,11 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     own = landmarks.similar(chosen).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T  # Nystroem: features are similarities @ root
-    sentences, of = Reader(landmarks).sentences(texts)
+    reader = Reader(landmarks, memo=100_000)
+    parts = [reader.sentences(texts[i : i + 500]) for i in range(0, len(texts), 500)]
+    sentences = np.concatenate([p[0] for p in parts])
+    of = np.concatenate([p[1] + 500 * i for i, p in enumerate(parts)])
+    del reader, parts
     features = sentences @ root
     rank = sentences.max(axis=1).astype(float)
     # Each landmark with one more character inside is a positive example too.
