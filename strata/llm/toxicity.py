@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import map_arrow
 
-ORDER, DECAY, LANDMARKS, LONGEST = 5, 0.8, 40, 12
+ORDER, DECAY, LANDMARKS, LONGEST = 5, 0.7, 40, 12
 #: Stands before each word and landmark, so a beginning counts as a character.
 START = "^"
 ROWS, CHARACTERS = 8000, 32_000_000
@@ -227,7 +227,8 @@ def choose(texts: list[str], toxic: np.ndarray) -> list[str]:
         if not cover:
             break
         most = max(cover.values())
-        best = max((s for s, c in cover.items() if c >= 0.98 * most), key=lambda s: (len(s), cover[s], s))
+        # Of beginnings that cover about as many, the one that clean texts have least, then the longest.
+        best = max((s for s, c in cover.items() if c >= 0.85 * most), key=lambda s: (-plain_[s], cover[s] >= 0.98 * most, len(s), cover[s], s))
         out.append(best)
         gone = {s for s in strong if s.startswith(best) or best.startswith(s)}
         strong -= gone
@@ -318,13 +319,14 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         best = np.union1d(best[~toxic[of[best]]], np.flatnonzero(sure))
         x, y = features[best], np.where(toxic[of[best]], 1.0, -1.0)
         balance = np.where(y > 0, max(1.0, (y < 0).sum() / max(1, (y > 0).sum()) / 2), 1.0)
-        x, y, balance = np.vstack([x, inserted]), np.append(y, np.ones(len(inserted))), np.append(balance, np.full(len(inserted), 3.0))
+        x, y, balance = np.vstack([x, inserted]), np.append(y, np.ones(len(inserted))), np.append(balance, np.full(len(inserted), 12.0))
         w, bias = machine(x, y, balance)
         weights = root @ w
         rank = sentences @ weights
     margins = np.full(len(texts), bias)
     np.maximum.at(margins, of, sentences @ weights + bias)
-    slope, offset = logistic(margins, toxic)
+    varied = landmarks.similar([s[: len(s) // 2 + 1] + " " + s[len(s) // 2 + 1 :] for s in chosen]) @ weights + bias
+    slope, offset = logistic(np.append(margins, varied), np.append(toxic, np.ones(len(varied), bool)))
     return Model(chosen, weights, bias, slope, offset)
 
 
