@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from strata.llm.common import map_arrow, shared_dir, staged
 
 RECORDS_PER_FILE, ROWS_PER_PART = 2000, 200_000
+#: So many rows of three short values, about 20 MB, are sent to every executor at most.
+REVISITS_BROADCAST = 200_000
 CAPTURE_START = "2024-01-01 00:00:00"
 END = "\r\n\r\n"
 #: Fixed value: the profile of identical payloads in the WARC 1.1 standard.
@@ -61,7 +63,9 @@ def records(pages: DataFrame, min_bytes: int = 0, captured: str | None = None) -
     # A row for each payload that several rows share, then one for each row but the first: pages themselves don't move.
     shared = keys.groupBy("hex", "n_bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
     again = keys.join(shared, ["hex", "n_bytes"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    again = again.select("hex", F.coalesce("page_id", F.lit(-(1 << 63))).alias("_id"), "refers_to").distinct()
+    again = staged(again.select("hex", F.coalesce("page_id", F.lit(-(1 << 63))).alias("_id"), "refers_to").distinct(), "revisits")
+    if again.count() <= REVISITS_BROADCAST:  # else a join by payload, in which pages move once
+        again = F.broadcast(again)
     rows = rows.withColumns({"hex": digest, "n_bytes": size, "_id": F.coalesce("page_id", F.lit(-(1 << 63)))}).join(again, ["hex", "_id"], "left")
     revisit = F.col("refers_to").isNotNull()
     bare = base32(F.col("hex"))

@@ -4,6 +4,8 @@ import hashlib
 import random
 from base64 import b32encode
 
+import pytest
+
 from strata.llm import warc
 
 
@@ -26,7 +28,9 @@ def brute(rows, least):
     return sorted(map(str, out))
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("most", [warc.REVISITS_BROADCAST, 0])
+def test_round_trip(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "REVISITS_BROADCAST", most)
     rows = [(5, "http://b.com/x y", "<p>é</p>"), (2, "http://a.com/2\r\nX: y", "<p>é</p>"), (9, None, None), (7, "http://a.com/", ""), (3, "https://a.com/1?q#f", "x\r\n\r\nWARC/1.1\r\n" * 3)]
     rows += [(2, "http://a.com/2", "<p>é</p>"), (None, "u", "<p>é</p>"), (None, "u", "solo"), (11, "http://c.org", "long " * 60_000), (12, "http://z.org", "😀")]
     rows += [(100 + i, f"http://h{i % 7}.com/{i}", f"page {i % 11}") for i in range(60)]
