@@ -9,9 +9,9 @@ The index is a set of immutable runs: bucketed tables sorted by anchor hash, wit
 distinct (anchor, stretch). A new batch becomes a run; it is merge-joined with the historical run, which needs no
 shuffle as both have the same buckets, and the join's outcome is the compacted run of the next level.
 
-Verification is by digest of the very words: stretches whose words occur twice are duplicate windows throughout (anchor
-hash and 96 bits of XXH3 of the words agree). Where stretches share an anchor but differ, their windows are compared
-one by one by 128 bits of XXH3. Counts combine before each shuffle; places meet digests in joins that adaptive
+Verification is by digest of the very words: stretches whose words occur twice are duplicate windows throughout (64 bits
+of anchor hash and 64 bits of XXH3 of all the words agree). Where stretches share an anchor but differ, their windows are compared
+one by one by 96 bits of XXH3. Counts combine before each shuffle; places meet digests in joins that adaptive
 execution may split, so a passage in a third of all documents isn't in one task.
 
 Defined cases: null text has no words; texts under WINDOW words lose none; windows of repeated rows are each other's
@@ -37,7 +37,7 @@ SPAN = WINDOW - GRAM + 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Rows that a task combines before it passes them on.
 COMBINE = 300_000
-KEY = ["anchor", "digest", "more"]
+KEY = ["anchor", "digest"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -105,12 +105,10 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not parts:
             continue
         rows = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
-        digests = np.array([x & ((1 << 96) - 1) for p in parts for x in p[4]], object)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([p[1] for p in parts])),
-                pa.array((digests & ((1 << 64) - 1)).astype(np.uint64).view(np.int64)),
-                pa.array((digests >> 64).astype(np.uint32).view(np.int32)),
+                pa.array(np.array([x & ((1 << 64) - 1) for p in parts for x in p[4]], np.uint64).view(np.int64)),
                 batch.column(0).take(pa.array(rows)),
                 batch.column(1).take(pa.array(rows)),
                 pa.array(np.concatenate([p[2] for p in parts]).astype(np.int32)),
@@ -122,7 +120,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stretches(docs: DataFrame) -> DataFrame:
     """A row for each stretch of windows with one anchor. No shuffle."""
-    return map_arrow(docs.select("id", "salt", "text"), _stretches, "anchor bigint, digest bigint, more int, id bigint, salt int, first int, n_windows int")
+    return map_arrow(docs.select("id", "salt", "text"), _stretches, "anchor bigint, digest bigint, id bigint, salt int, first int, n_windows int")
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +128,11 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emit() -> Iterator[pa.RecordBatch]:
         some = pa.Table.from_batches(held)
-        anchor, digest, more = (some.column(c).to_numpy() for c in KEY)
-        order = np.lexsort((more, digest, anchor))
-        anchor, digest, more = anchor[order], digest[order], more[order]
+        anchor, digest = (some.column(c).to_numpy() for c in KEY)
+        order = np.lexsort((digest, anchor))
+        anchor, digest = anchor[order], digest[order]
         new = np.ones(len(order), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1]) | (more[1:] != more[:-1])
+        new[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
         first = np.flatnonzero(new)
         counts = np.diff(np.append(first, len(order)))
         yield from some.take(pa.array(order[first])).append_column("n", pa.array(counts.astype(np.int64))).combine_chunks().to_batches(max_chunksize=50_000)
@@ -163,7 +161,7 @@ class Index:
 
     def add(self, docs: DataFrame) -> None:
         """docs: id, salt, text. Their stretches become a run, merged with the historical run if there is one."""
-        columns = "anchor bigint, digest bigint, more int, id bigint, salt int, first int, n_windows int, n bigint"
+        columns = "anchor bigint, digest bigint, id bigint, salt int, first int, n_windows int, n bigint"
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return _combined(_stretches(batches))
@@ -217,10 +215,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batch: pa.RecordBatch, rows: list[int], starts: list[int], once: list[bool], digests: list[int]) -> pa.RecordBatch:
-    halves = np.array([(x >> 64, x & ((1 << 64) - 1)) for x in digests], np.uint64).view(np.int64)
+    a = np.array([x >> 64 for x in digests], np.uint64).view(np.int64)
+    b = np.array([x & ((1 << 32) - 1) for x in digests], np.uint32).view(np.int32)
     take = pa.array(rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int32()), pa.array(once)],
+        [pa.array(a), pa.array(b), batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int32()), pa.array(once)],
         ["a", "b", "id", "salt", "first", "once"],
     )
 
@@ -261,7 +260,7 @@ def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
     texts = docs.select("id", "salt", "text", "doc_id")
     wanted = places.groupBy("id", "salt").agg(F.collect_list("place").alias("places"))  # no more than a text has windows
     some = texts.join(wanted, ["id", "salt"]).select("id", "salt", "text", "places")
-    windows = map_arrow(some, _windows, "a bigint, b bigint, id bigint, salt int, first int, once boolean")
+    windows = map_arrow(some, _windows, "a bigint, b int, id bigint, salt int, first int, once boolean")
     equal = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     single = windows.where("once").join(equal, ["a", "b"]).select("id", "salt", "first", F.lit(1).alias("n_windows"))
     whole = stretches(docs).join(twice, KEY).select("id", "salt", "first", "n_windows")
