@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import logging
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +27,20 @@ def get_session(name: str = "strata", master: str | None = None, settings: dict[
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_strata_shipped", False):
+        return
+    package = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="strata-")) / "strata.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._strata_shipped = True
+
+
 def get_logger(name: str, level: int = logging.INFO) -> logging.Logger:
     """A logger with one handler, however often it is asked for."""
     logger = logging.getLogger(name)

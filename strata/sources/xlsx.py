@@ -20,6 +20,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BooleanType, DataType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
+from strata.session import ship
+
 #: Fixed values of the file format: namespaces, and day 0 of serial dates.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 EPOCH = dt.datetime(1899, 12, 30)
@@ -131,6 +133,7 @@ class XlsxReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(XlsxSource)
 
 
