@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.session import ship
+
 #: The characters that separate words, [\x20\x09-\x0D]: what bytes.split() splits at.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -48,6 +50,7 @@ def map_arrow(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """mapInArrow with batches small enough for very long texts."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
