@@ -1,21 +1,25 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: seeds that no alignment can avoid, then Smith-Waterman alignment of words.
 
-Words are runs of letters and digits, lower-cased. A first pass counts in how many places of the corpus each n-gram of
-the test items stands (partial counts by task, then one row for each n-gram). The rarer half of an item's n-grams are
-its seeds, ties included, so every item has seeds however often it leaked. A second pass finds seeds in the passages of
-each document and aligns the passage around them with the item; the local alignment's score, as a share of the score of
-the whole item, tells copies, edited copies and paraphrases that keep enough words.
+Words are runs of letters and digits, lower-cased. An item's features are its words and its pairs of neighbouring words,
+by place. An alignment of m words in r runs scores at most MATCH * m - (r - 1), and holds m words and m - r pairs, so one
+that reaches the threshold holds at least `need` features. All but the need - 1 commonest are the item's seeds: whatever
+was edited and however often it leaked, one of them stands in each such passage. A first pass counts the features in the
+corpus, which only tells common from rare ones (partial counts by task, then one row for each). A second pass finds seeds
+in each document, drops pairs of document and item (then passages) that share fewer than `need` features, and aligns the
+passages around the seeds with the item; the local alignment's score, as a share of the score of the whole item, tells
+copies, edited copies and paraphrases that keep enough words. Nothing else is left out: the result is that of full alignment.
 
 Test items are read in slices of at most SLICE characters, each sent to every executor; a larger benchmark takes more
 slices, never a larger broadcast. Documents aren't shuffled and each is read whole.
 
-Defined cases: null or wordless texts match nothing, on either side; an item of one or two words has one seed, all of
-it; equal items each match; repeated document rows each get their rows; a null doc_id or item_id is carried as null;
+Defined cases: null or wordless texts match nothing, on either side; an item of one or two words is found as a
+whole only; equal items each match; repeated document rows each get their rows; a null doc_id or item_id is carried as null;
 other columns are ignored; an empty table on either side gives no matches.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import map_arrow
 
-GRAM, THRESHOLD, SLICE = 3, 0.5, 8_000_000
+GRAM, THRESHOLD, SLICE, CELLS = 2, 0.5, 8_000_000, 8_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 WORDS = re.compile(r"[^\W_]+")
 
@@ -48,52 +52,46 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
+def need(n: int, threshold: float) -> int:
+    """So many of its 2n - 1 features an item of n words shares with a passage that reaches the threshold, at least."""
+    return 2 * n - 1 if n <= 2 else max(1, math.ceil(MATCH * n * threshold - 1 - 1e-9))
+
+
 class Index:
-    """Words and n-grams of a slice of test items."""
+    """Words and pairs of words of a slice of test items. Feature w - 1 is word w, then come the pairs."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD):
         self.ids = [i for i, _ in items]
         self.vocabulary: dict[str, int] = {}
         number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.items = [np.array([number(w) for w in words(t)], np.int64) for _, t in items]
-        grams: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for k, item in enumerate(self.items):
-            n = min(GRAM, len(item))
-            for i in range(len(item) - n + 1 if n else 0):
-                grams.setdefault(tuple(item[i : i + n].tolist()), []).append((k, i))
-        self.grams = list(grams)
-        self.places = list(grams.values())
         self.base = len(self.vocabulary) + 1
-        self.keep(range(len(self.grams)))
-
-    def keep(self, chosen) -> None:
-        """Look for these n-grams only."""
-        self.keys = {}
-        for n in range(1, GRAM + 1):
-            some = [k for k in chosen if len(self.grams[k]) == n]
-            keys = np.array([self.key(np.array(self.grams[k])[:, None])[0] for k in some], np.int64)
-            order = np.argsort(keys)
-            if len(some):
-                self.keys[n] = keys[order], np.array(some, np.int64)[order]
-
-    def key(self, columns) -> np.ndarray:
-        out = columns[0].astype(np.int64)
-        for c in columns[1:]:
-            out = out * self.base + c
-        return out
-
-    def rare(self, counts: dict[int, int]) -> None:
-        """Keep each item's n-grams of at most its median count."""
-        of: list[list[int]] = [[] for _ in self.items]
-        for g, places in enumerate(self.places):
-            for k, _ in places:
-                of[k].append(g)
-        chosen = set()
-        for own in of:
-            if own:
-                bound = np.median([counts.get(g, 0) for g in own])
-                chosen.update(g for g in own if counts.get(g, 0) <= bound)
-        self.keep(sorted(chosen))
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(self.pair(item) for item in self.items)]))
+        self.size = len(self.vocabulary) + len(self.pairs)
+        self.needs = np.array([need(len(item), threshold) for item in self.items], np.int64)
+        # Features of all items by place, words of an item first: item, feature, place.
+        self.lengths = np.array([max(2 * len(item) - 1, 0) for item in self.items], np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
+        none = np.zeros(0, np.int64)
+        self.features = np.concatenate([none, *(x for item in self.items for x in (item - 1, self.named(self.pair(item))))])
+        self.places = np.concatenate([none, *(np.arange(n) for item in self.items for n in (len(item), max(len(item) - 1, 0)))])
+
+    def pair(self, numbers: np.ndarray) -> np.ndarray:
+        return numbers[:-1] * self.base + numbers[1:]
+
+    def named(self, pairs: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.pairs, pairs) + self.base - 1
+
+    def seed(self, counts: np.ndarray) -> None:
+        """Take all features of each item but its need - 1 commonest as seeds."""
+        owner = np.repeat(np.arange(len(self.items)), self.lengths)
+        order = np.lexsort((-counts[self.features], owner))
+        rank = np.arange(len(owner)) - self.begins[owner]
+        chosen = np.sort(order[rank >= self.needs[owner] - 1])
+        self.own = np.searchsorted(chosen, self.begins)  # where the seeds of each item begin
+        self.seeds, self.at = self.features[chosen], self.places[chosen]
+        pairs = np.unique(np.stack([self.seeds, owner[chosen]]), axis=1)
+        self.of, self.first = pairs[1], np.searchsorted(pairs[0], np.arange(self.size + 1))
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts, each followed by GRAM zeros, and where each begins."""
@@ -106,52 +104,85 @@ class Index:
         return np.array(parts, np.int64), np.array([*starts, at], np.int64)
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and n-grams found there."""
-        at, gram = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n, (keys, names) in self.keys.items():
-            known = numbers > 0
-            full = known[: len(known) - n + 1].copy()
-            for i in range(1, n):
-                full &= known[i : len(known) - n + 1 + i]
-            where = np.flatnonzero(full)
-            own = self.key([numbers[where + i] for i in range(n)])
-            slot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            found = keys[slot] == own
-            at.append(where[found])
-            gram.append(names[slot[found]])
-        return np.concatenate(at), np.concatenate(gram)
+        """Positions and features found there."""
+        where = np.flatnonzero(numbers)
+        two = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
+        if not len(self.pairs):
+            return where, numbers[where] - 1
+        own = numbers[two] * self.base + numbers[two + 1]
+        slot = np.minimum(np.searchsorted(self.pairs, own), len(self.pairs) - 1)
+        found = self.pairs[slot] == own
+        return np.concatenate([where, two[found]]), np.concatenate([numbers[where] - 1, slot[found] + self.base - 1])
+
+    def count(self, texts: list[str | None]) -> np.ndarray:
+        return np.bincount(self.hits(self.numbers(texts)[0])[1], minlength=self.size)
 
     def matches(self, texts: list[str | None], threshold: float) -> Iterator[tuple[int, int, float, int]]:
         """Text, item, share of the item's score, and the passage's first word."""
+        step = max(1, CELLS // max(self.size, 1))
+        for low in range(0, len(texts), step):
+            for text, *found in self._matches(texts[low : low + step], threshold):
+                yield low + text, *found
+
+    def _matches(self, texts: list[str | None], threshold: float) -> Iterator[tuple[int, int, float, int]]:
         numbers, starts = self.numbers(texts)
-        at, gram = self.hits(numbers)
+        at, feature = self.hits(numbers)
         if not len(at):
             return
-        order = np.argsort(at, kind="stable")
-        spans: dict[tuple[int, int], list[list[int]]] = {}
-        for p, g, text in zip(at[order].tolist(), gram[order].tolist(), (np.searchsorted(starts, at[order], "right") - 1).tolist(), strict=True):
-            for k, i in self.places[g]:
-                n = len(self.items[k])
-                slack = n // 2 + 2
-                low, high = max(p - i - slack, int(starts[text])), min(p - i + n + slack, int(starts[text + 1]) - GRAM)
-                own = spans.setdefault((text, k), [])
-                if own and low <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], high)
-                    own[-1][0] = min(own[-1][0], low)
-                else:
-                    own.append([low, high])
-        for (text, k), own in spans.items():
-            item = self.items[k]
-            whole = MATCH * len(item)
+        text = np.searchsorted(starts, at, "right") - 1
+        present = np.zeros((len(texts), self.size), bool)
+        present[text, feature] = True
+        t, f = np.nonzero(present & (np.diff(self.first) > 0))
+        many = self.first[f + 1] - self.first[f]
+        slot = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[f], many)
+        pairs = np.unique(np.repeat(t, many) * len(self.items) + self.of[slot])
+        t, k = pairs // len(self.items), pairs % len(self.items)
+        keep = np.zeros(len(pairs), bool)
+        size = 1 + CELLS // max(int(self.lengths.max()), 1)
+        for low in range(0, len(pairs), size):
+            a, b = t[low : low + size], k[low : low + size]
+            n = self.lengths[b]
+            ends = np.cumsum(n)
+            slot = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(self.begins[b], n)
+            shared = np.add.reduceat(present[np.repeat(a, n), self.features[slot]].astype(np.int64), ends - n)
+            keep[low : low + size] = shared >= self.needs[b]
+        t, k = t[keep], k[keep]
+        if not len(t):
+            return
+        order = np.lexsort((at, text))
+        at, feature = at[order], feature[order]
+        bounds = np.searchsorted(text[order], np.arange(len(texts) + 1))
+        for text, k in zip(t.tolist(), k.tolist(), strict=True):
+            item, here = self.items[k], slice(bounds[text], bounds[text + 1])
+            whole, n = MATCH * len(item), len(item)
+            slack = max(int(MATCH * n * (1 - threshold)) // GAP, 0) + 1  # a passage that scores has no more words of its own
             best = (0.0, 0)
-            for low, high in own:
+            for low, high in self.spans(k, at[here], feature[here], slack, int(starts[text]), int(starts[text + 1]) - GRAM):
                 passage = numbers[low:high]
-                # Each word of an alignment that scores is in both, so few common words can't reach the threshold.
-                if MATCH * int(np.isin(item, passage).sum()) >= threshold * whole:
+                shared = int(np.isin(item, passage).sum() + np.isin(self.pair(item), self.pair(passage)).sum())
+                if shared >= self.needs[k]:
                     best = max(best, (alignment(item, passage) / whole, int(starts[text]) - low))
             if best[0] >= threshold:
                 yield text, k, best[0], int(-best[1])
 
+    def spans(self, k: int, at: np.ndarray, feature: np.ndarray, slack: int, begin: int, end: int) -> Iterator[tuple[int, int]]:
+        """Passages around the seeds of item k; those that meet are one."""
+        seeds, places = self.seeds[self.own[k] : self.own[k + 1]], self.at[self.own[k] : self.own[k + 1]]
+        names = np.unique(seeds)
+        slot = np.minimum(np.searchsorted(names, feature), len(names) - 1)
+        hit = names[slot] == feature
+        at, slot = at[hit], slot[hit]
+        # The last place of a seed reaches furthest left, the first furthest right.
+        last, first = np.zeros(len(names), np.int64), np.full(len(names), len(self.items[k]), np.int64)
+        np.maximum.at(last, np.searchsorted(names, seeds), places)
+        np.minimum.at(first, np.searchsorted(names, seeds), places)
+        lows = np.maximum(at - last[slot] - slack, begin)
+        highs = np.minimum(at - first[slot] + len(self.items[k]) + slack, end)
+        order = np.argsort(lows, kind="stable")
+        lows, highs = lows[order], np.maximum.accumulate(highs[order])
+        new = np.flatnonzero(lows[1:] > highs[:-1]) + 1
+        yield from zip(lows[[0, *new]].tolist(), highs[[*(new - 1), -1]].tolist(), strict=True)
+
 
 def slices(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int | None, str | None]]]:
     """The items in lists of about `limit` characters at most, by a hash of the text; null texts are left out."""
@@ -172,21 +203,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in slices(benchmark, limit):
-        index = Index(items)
-        if not index.grams:
+        index = Index(items, threshold)
+        if not index.size:
             continue
         shared = spark.sparkContext.broadcast(index)  # of SLICE characters at most
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            total = np.zeros(len(own.grams), np.int64)
+            total = np.zeros(own.size, np.int64)
             for batch in batches:
-                total += np.bincount(own.hits(own.numbers(batch.column(0).to_pylist())[0])[1], minlength=len(total))
+                total += own.count(batch.column(0).to_pylist())
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
 
         counted = map_arrow(docs.select("text"), count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-        index.rare({r.gram: r.n for r in counted.collect()})  # as many rows as the slice has n-grams, whatever the corpus
+        got, counts = counted.toArrow(), np.zeros(index.size, np.int64)  # as many rows as the slice has features, whatever the corpus
+        counts[got["gram"].to_numpy()] = got["n"].to_numpy()
+        index.seed(counts)
         seeds = spark.sparkContext.broadcast(index)
 
         def align(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:

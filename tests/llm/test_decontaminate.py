@@ -57,3 +57,32 @@ def test_against_full_alignment(spark):
     leaked = {d for d, *_ in want if d != "None"}
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in docs if str(i) not in leaked)
     assert dec.matches(frame, bench.limit(0)).count() == 0 and dec.matches(frame.limit(0), bench).count() == 0
+
+
+def test_dense_edits_against_full_alignment(spark):
+    """15 to 50 % of the words replaced, dropped or pushed apart, evenly or not, in one copy and in many."""
+    pick = random.Random(21)
+    items = [(k, make(pick, 30) if k % 2 else ["own%d_%d" % (k, i) for i in range(pick.randint(20, 40))]) for k in range(16)]
+    items += [(30, ["the", "of"] * 10), (31, ["one", "two", "three"])]
+    docs = [(1000 + i, make(pick, 150)) for i in range(40)] + [(2000, ["a1", "a2"] * 40)]
+    for k, item in items:
+        for every in (2, 3, 4, 5, 6):
+            replaced = ["x%d" % i if i % every == every - 1 else w for i, w in enumerate(item)]
+            dropped = [w for i, w in enumerate(item) if i % every != every - 1]
+            apart = [w for i, v in enumerate(item) for w in ([v, "y%d" % i] if every == 2 or i % every else [v])]
+            some = [w if pick.random() > 0.3 else "z%d" % i for i, w in enumerate(item)]
+            for body in (replaced, dropped, apart, some):
+                docs.append((len(docs), make(pick, 20) + body + make(pick, 20)))
+    hot = [w if i % 5 < 4 else "h%d" % i for i, w in enumerate(items[2][1])]
+    docs += [(5000 + i, make(pick, 10) + hot) for i in range(300)]
+    texts = [(i, " ".join(t)) for i, t in items]
+    want = []
+    for d, t in docs:
+        for i, item in texts:
+            a, b = dec.words(item), dec.words(" ".join(t))
+            if (score := brute(a, b) / (dec.MATCH * len(a))) >= dec.THRESHOLD:
+                want.append((d, i, round(score, 9)))
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string").repartition(3)
+    got = dec.matches(frame, spark.createDataFrame(texts, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in got.collect()) == sorted(want)
+    assert len(want) > 500 and {d for d, i, _ in want if i == 2} >= set(range(5000, 5300))
