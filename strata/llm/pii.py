@@ -5,8 +5,12 @@ One pattern finds e-mail addresses, IPv4 addresses, payment cards, phone numbers
 an address in capitals or a number with other separators is the same entity. Each distinct canonical form gets a keyed
 surrogate, character by character: a digit for a digit, a hexadecimal digit for one in a secret, a letter of the same
 script for a letter; octets of an IPv4 address stay octets and a card number stays valid if it was. A name's first part
-comes from a list for the gender of the form of address, further parts keep their script. The occurrence's own signs and
-capitals are then put back, which keeps its format.
+comes from a list for the gender of the form of address, each further part and a surname alone are spelled anew in their
+script; particles in lower case (von, de la) stay. The occurrence's own signs and capitals are then put back, which keeps
+its format.
+
+A name is all that follows a form of address, one space between parts, as long as words begin with a capital: compound,
+three-part, Mc and O' names, initials and names in capitals are read whole, and so are capitalised words right behind.
 
 Surrogates are keyed by SHA-512 of key, kind, canonical form and attempt. Distinct entities that meet in one surrogate,
 or in the canonical form of a real entity, are found by a combined count and all but the first try again, until there
@@ -29,6 +33,16 @@ from strata.llm.common import staged
 KEY = "strata-surrogates"
 ATTEMPTS = 40
 WORD = r"[\p{L}\p{N}]"
+#: Forms of address, which stand before a name and stay, with academic titles behind them.
+TITLES = "Mrs|Mr|Ms|Miss|Herr|Frau|Señora|Señor|Sra|Sr|Madame|Monsieur|Mme|Mlle|Doña|Don|Dr|Prof|господин|госпожа|Господин|Госпожа"
+ADDRESSED = rf"(?:{TITLES})\.? (?:(?:Dr|Prof)\.? |(?:med|phil|jur|rer|nat|habil|Ing)\. )*+"
+#: Those that end a name before them; Miss and Don are names as well.
+OTHERS = "|".join(t for t in TITLES.split("|") if t not in ("Miss", "Don", "Doña"))
+#: Particles of names, which stay where they stand in lower case and another part follows.
+PARTICLES = "von|vom|van|zu|zum|zur|der|den|de|del|della|degli|dei|di|da|das|do|dos|du|des|la|las|le|les|los|lo|el|al|bin|bint|ibn|ben|abu|ter|ten|te|af|av|y|e|i|und|auf|in|'t|ван|фон|де|ди|да|аль|ибн"
+#: A part reaches to the end of the word: any letters, also behind an apostrophe or hyphen, but for a possessive 's.
+PART = r"(?:(?:[dl]['’]|(?:al|el)-)?\p{Lu}[\p{L}\p{M}\p{N}]*+(?:['’-](?![sS](?![\p{L}\p{M}\p{N}]))[\p{L}\p{M}\p{N}]++)*+(?:(?<=(?<![\p{L}\p{M}\p{N}])\p{Lu})\.(?= ?\p{Lu}))?+)"
+NAME = rf"(?:(?:{PARTICLES}) )*+{PART}(?: ?(?<=\.){PART}| (?!(?:{OTHERS})(?![\p{{L}}\p{{N}}]))(?:(?:{PARTICLES}) )*+{PART})*+"
 #: Kinds in the order in which they are tried at a position.
 PATTERNS = {
     "email": rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+-]*+@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)*+(?<=\.\p{{L}}{{2,24}})",
@@ -38,11 +52,11 @@ PATTERNS = {
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![\p{L}\p{N}])",
-    "name": r"(?<![\p{L}\p{N}])(?:Mrs|Mr|Ms|Miss|Herr|Frau|Señora|Señor|Sra|Sr|Madame|Monsieur|Mme|Mlle|Doña|Don|Dr|Prof|господин|госпожа|Господин|Госпожа)\.? \p{Lu}[\p{Ll}'’-]++(?: \p{Lu}[\p{Ll}'’-]++)?",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){ADDRESSED}{NAME}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Forms of address, which stand before a name and stay, and the gender they tell.
-ADDRESS = r"^(?:Mrs|Mr|Ms|Miss|Herr|Frau|Señora|Señor|Sra|Sr|Madame|Monsieur|Mme|Mlle|Doña|Don|Dr|Prof|господин|госпожа|Господин|Госпожа)\.? "
+ADDRESS = rf"^{ADDRESSED}"
+#: The gender that forms of address tell.
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mlle|Doña|[Гг]оспожа)\b"
 MALE = r"^(?:Mr|Herr|Señor|Sr|Monsieur|Don|[Гг]осподин)\b"
 FIRST = {
@@ -64,8 +78,8 @@ def kind(entity: Column) -> Column:
 
 
 def letters(entity: Column) -> Column:
-    """Letters and digits in lower case; of a name those after the form of address, with the space between parts."""
-    name = F.lower(F.regexp_replace(entity, ADDRESS, ""))
+    """Letters and digits in lower case; of a name all after the form of address, with ~ before particles."""
+    name = F.lower(F.regexp_replace(F.regexp_replace(entity, ADDRESS, ""), rf"(?<![^ ])(?=(?:{PARTICLES}) )", "~"))
     return F.when(entity.rlike(ADDRESS), name).otherwise(F.lower(F.regexp_replace(entity, r"[^\p{L}\p{N}]", "")))
 
 
@@ -102,6 +116,11 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def listed(part: Column, at: Column, parts: Column) -> Column:
+    """Whether a part of a canonical name is a first name: the first of several and neither particle nor initial."""
+    return (at == 0) & (F.size(parts) > 1) & ~part.rlike(r"^~|^.$|\.")
+
+
 def surrogate(of: Column, form: Column, key: str, attempt: Column) -> Column:
     """The canonical form that stands for another one."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), of, form, attempt.cast("string")), 512)
@@ -124,9 +143,9 @@ def surrogate(of: Column, form: Column, key: str, attempt: Column) -> Column:
         .when(gender == "m", pick(FIRST["m"]))
         .otherwise(pick(FIRST["n"]))
     )
-    parts = F.split(name, " ")
-    # A surname alone is spelled anew, as is what follows a first name.
-    full = F.concat(gender, F.lit(":"), F.when(F.size(parts) > 1, F.concat_ws(" ", first, spelled(F.substring_index(name, " ", -1)))).otherwise(spelled(name)))
+    parts, spelt = F.split(name, " "), F.split(spelled(name), " ")
+    anew = lambda p, i: F.when(listed(p, i, parts), first).when(p.startswith("~"), p).otherwise(F.get(spelt, i))
+    full = F.concat(gender, F.lit(":"), F.array_join(F.transform(parts, anew), " "))
     return F.when(of == "email", email).when(of == "ip", ip).when(of == "card", card).when(of == "name", full).otherwise(plain)
 
 
@@ -134,7 +153,15 @@ def dressed(entity: Column, of: Column, form: Column) -> Column:
     """The surrogate form in the dress of an occurrence: its signs, and capitals where it has them."""
     upper = entity.rlike(r"\p{Lu}") & ~entity.rlike(r"\p{Ll}")
     address = F.regexp_extract(entity, f"({ADDRESS})", 1)
-    name = F.concat(address, F.initcap(F.substring(form, F.lit(3), F.length(form))))
+    parts, own = F.split(F.substring(form, F.lit(3), F.length(form)), " "), F.split(F.regexp_replace(entity, ADDRESS, ""), " ")
+    capitals = lambda p, o: F.array_join(F.transform(characters(p), lambda c, i: F.when(F.substring(o, i + 1, F.lit(1)).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")
+    worn = lambda p, i: (
+        F.when(p.startswith("~"), F.substring(p, F.lit(2), F.length(p)))
+        .when(F.get(own, i).rlike(r"\p{Lu}.*\p{Lu}") & ~F.get(own, i).rlike(r"\p{Ll}"), F.upper(p))
+        .when(listed(p, i, parts), F.initcap(p))
+        .otherwise(capitals(p, F.get(own, i)))
+    )
+    name = F.concat(address, F.array_join(F.transform(parts, worn), " "))
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
     step = lambda s, c: F.when(
         c.rlike(f"^{WORD}$"),

@@ -66,3 +66,36 @@ def test_distinct_entities_stay_distinct(spark):
         for x, y in zip(old.split(" and "), by[i][0].split(" and "), strict=True):
             assert new.setdefault(x, y) == y
     assert len(set(new.values())) == len(mails) and not set(new.values()) & set(mails)
+
+
+def test_whole_names(spark):
+    """No part of a name behind a form of address stays, whatever its shape."""
+    whole = [
+        ("Mr McDonald", "Mr Aaaaaaaa", "McDonald"),
+        ("Frau Anna Müller-Lüdenscheidt", None, "Anna Müller Lüdenscheidt"),
+        ("Mr O'Brien", None, "Brien"),
+        ("Mr. O’Brien", None, "Brien"),
+        ("Dr Maria Anna Schmidt", None, "Maria Anna Schmidt"),
+        ("Mr SMITH", None, "SMITH"),
+        ("Herr Johann Wolfgang von Goethe", None, "Johann Wolfgang Goethe"),
+        ("Señora María de la Cruz López", None, "María Cruz López"),
+        ("Herr Prof. Dr. med. Karl Weber", None, "Karl Weber"),
+        ("Mr J. R. Tolkien", None, "Tolkien"),
+        ("Mr J.R. Tolkien", None, "Tolkien"),
+        ("Monsieur d'Artagnan", None, "Artagnan"),
+        ("Mr Minh Le", None, "Minh"),
+        ("Госпожа Анна Мария Иванова-Петрова", None, "Мария Иванова Петрова"),
+    ]
+    rows = [(i, f"saw {n}, then {n}'s dog and {n} left.") for i, (n, *_) in enumerate(whole)]
+    rows += [(100, "Mr Smith, Mr SMITH and Mr Smith's. Frau Anna Maria Herr Otto"), (101, "Herr von Goethe")]
+    by, _ = run(spark, rows)
+    for i, (name, _, parts) in enumerate(whole):
+        text, n = by[i]
+        assert n == 3 and not [p for p in parts.split() if re.search(rf"(?<!\w){p}(?!\w)|{p[1:]}" if len(p) > 4 else rf"(?<!\w){p}(?!\w)", text)], text
+        other = re.fullmatch(r"saw (.+), then (.+)'s dog and (.+) left\.", text)
+        assert other[1] == other[2] == other[3] and len(other[1].split(" ")) == len(name.split(" "))
+    assert by[0][0][4:].startswith("Mr ") and re.match(r"saw Mr [A-Z][a-z][A-Z][a-z]{5},", by[0][0])
+    assert re.match(r"saw Mr [A-Z]'[A-Z][a-z]{4},", by[2][0]) and re.match(r"saw Mr [A-Z]{5},", by[5][0])
+    assert " von " in by[6][0] and " de la " in by[7][0] and by[8][0].startswith("saw Herr Prof. Dr. med. ")
+    a, b, c = re.match(r"Mr (\w+), Mr (\w+) and Mr (\w+)'s\. Frau \w+ \w+ Herr \w+$", by[100][0]).groups()
+    assert a == b.capitalize() == c and by[100][1] == 5 and by[101][0].startswith("Herr von ")
