@@ -1,21 +1,24 @@
 """Toxicity: a support vector machine over Nystroem features of a gap-weighted subsequence string kernel.
 
 kernel(s, t) sums decay**(span in s + span in t) over all common subsequences of ORDER characters (Lodhi et al. 2002),
-divided by kernel(t, t) and capped at 1 for a landmark t, so a word that holds an insult with inserted characters
-still scores high. A sentence's similarity to a landmark is the largest over its words; its features are
-those similarities under the inverse square root of the landmarks' own kernel matrix. The machine is linear there
-and learns from sentences of labelled documents: those of a toxic document that come near a landmark are positive, of
-a clean one the highest-scoring sentence of the round before is negative; each landmark with one more character inside is
-positive too. A document scores as its highest sentence, which
-a fitted logistic curve turns into a probability.
+divided by kernel(t, t) and capped at 1 for a landmark t, so a word that holds an insult with one character inserted
+keeps DECAY of its similarity at least. A word is coded by its nearest landmark, under the inverse square root of the
+landmarks' own kernel matrix (Nystroem). A sentence, and so a document, is as toxic as its most toxic word: the machine is
+linear over words and learns from those of labelled documents: words of toxic documents that come near a landmark are
+positive, words of clean ones that do are negative; each landmark with one more character inside is positive too. A
+fitted logistic curve over labelled documents turns the margin into a probability.
 
-Words are lower-cased, lose signs at their ends and inside (a sign between letters is a gap that costs nothing), read
-digits that stand for letters as letters, and runs of four or more single characters are also read as one word.
+Landmarks are word beginnings that toxic documents hold more often than chance allows: the bound is on the probability of
+such a count among as many documents, over all beginnings tried, so neither a few documents nor label noise make one.
+
+Words are lower-cased, lose signs at their ends and inside (a sign between letters is a gap that costs nothing) and read
+digits that stand for letters as letters. Runs of four or more single characters are also read as one word, and
+neighbouring words that spell a landmark together are also read as one, with a gap where the first ends.
 
 Learning reads at most `rows` labelled documents and `characters` of their texts, chosen by a hash of the id, without
 those held out. Scoring reads every word of every document in place, without a shuffle.
 
-Defined cases: null and empty texts hold no sentence and get the score of a sentence without any similarity; a null id
+Defined cases: null and empty texts hold no word and get the score of a text without any similarity; a null id
 is never held out; other columns, `labels` among them, are ignored; without both kinds of label every score is the
 share of toxic labels (0 without labels); repeated rows get equal scores; an empty table gives an empty result.
 """
@@ -24,9 +27,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
+from math import ceil, log
 from zlib import crc32
 
 import numpy as np
@@ -36,25 +40,38 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import map_arrow
 
-ORDER, DECAY, LANDMARKS, LONGEST = 5, 0.7, 40, 12
+ORDER, DECAY, LANDMARKS, LONGEST = 5, 0.7, 64, 12
 #: Stands before each word and landmark, so a beginning counts as a character.
 START = "^"
 ROWS, CHARACTERS = 8000, 32_000_000
 THRESHOLD = 0.3
-#: A sentence of a toxic document that is so similar to a landmark is positive.
+COST = 10.0
+#: Toxic words, and as much again their gapped forms, weigh this part of the clean ones.
+BALANCE = 8
+#: A word is compared with a landmark if a common subsequence has so much of the landmark's characters; below, similarity is small.
+SHARED = 0.7
+#: A word of a toxic document that is so similar to a landmark is positive.
 SURE = 0.9
-#: Characters of a longer word are read in pieces that overlap by half.
-WORD = 48
-MEMO = 600_000
+#: A word of a clean document that is so similar to one is negative; others lie with a word without any similarity.
+UNSURE = 0.3
+#: Chance of any landmark by luck alone, over all word beginnings that are tried.
+LUCK = 0.05
+#: Least share of toxic documents among those that hold a landmark.
+PURE = 0.9
+#: Positions of words that the kernel takes at a time; what reaches over is carried on, so words of any length are whole.
+CHUNK = 64
+#: Characters of a batch of words, and of the remembered words of a reader (an entry counts as 100 more).
+CELLS, MEMO = 1 << 20, 90_000_000
 #: Digits and signs that stand for letters.
 STANDS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
-SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
+SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S){3,}(?!\S)")
+ENDING = ".!?"
 SIGNS = re.compile(r"[\W_]+")
 ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def plain(word: str) -> str:
-    """START and the letters of a word; nothing if it has none."""
+    """The letters of a word behind START; nothing if it has none."""
     word = word.lower()
     if not word.isalpha():
         word = ENDS.sub("", word)
@@ -65,16 +82,27 @@ def plain(word: str) -> str:
 
 def kernel(words: np.ndarray, lengths: np.ndarray, landmark: np.ndarray) -> np.ndarray:
     """Raw kernel of many words (a matrix of character codes, 0 is padding) with one landmark."""
-    width, m = words.shape[1], len(landmark)
-    hit = (words[:, :, None] == landmark) & (np.arange(width) < lengths[:, None])[:, :, None]
-    gain = hit * np.float32(DECAY**2)
+    width, m, square = words.shape[1], len(landmark), np.float32(DECAY**2)
     decayed = lambda n: np.tril(DECAY ** np.subtract.outer(np.arange(n), np.arange(n)).clip(0)).astype(np.float32)
-    along_word, along_landmark = decayed(width), decayed(m).T
-    for _ in range(ORDER - 1):
-        ways = along_word @ (gain @ along_landmark)  # of one order, by the ends in word and landmark
-        gain = np.zeros_like(gain)
-        gain[:, 1:, 1:] = hit[:, 1:, 1:] * ways[:, :-1, :-1] * np.float32(DECAY**2)
-    return gain.sum(axis=(1, 2), dtype=float)
+    along_word, along_landmark = decayed(min(width, CHUNK)), decayed(m).T
+    fade = (DECAY ** np.arange(1, CHUNK + 1)).astype(np.float32)[:, None]
+    held = [np.zeros((len(words), m), np.float32)] * (ORDER - 1)  # of each order, by the position before the chunk
+    total = np.zeros(len(words))
+    for a in range(0, width, CHUNK):
+        part = words[:, a : a + CHUNK]
+        n = part.shape[1]
+        hit = (part[:, :, None] == landmark) & (np.arange(a, a + n) < lengths[:, None])[:, :, None]
+        gain = hit * square
+        for k in range(ORDER - 1):
+            ways = along_word[:n, :n] @ (gain @ along_landmark)  # of one order, by the ends in word and landmark
+            if a:
+                ways += fade[:n] * held[k][:, None]
+            gain = np.zeros_like(gain)
+            gain[:, 1:, 1:] = hit[:, 1:, 1:] * ways[:, :-1, :-1] * square
+            gain[:, 0, 1:] = hit[:, 0, 1:] * held[k][:, :-1] * square
+            held[k] = ways[:, -1]
+        total += gain.sum(axis=(1, 2), dtype=float)
+    return total
 
 
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +112,7 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Landmarks:
-    """Similarity of words to each landmark. Words without a common subsequence of ORDER characters are 0 exactly.
+    """Similarity of words to each landmark: 0 for words that share less than SHARED of its characters in order.
 
     Those are found first by a bit-parallel longest common subsequence (Hyyroe 2004), several landmarks to a 64-bit
     number, so the kernel runs on the few pairs that are left.
@@ -104,7 +132,7 @@ class Landmarks:
             self.lanes.append(lane)
 
     def near(self, words: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each landmark the words with a common subsequence of ORDER characters."""
+        """For each landmark the words with a common subsequence of ORDER characters and SHARED of the landmark's."""
         alphabet, index = np.unique(words, return_inverse=True)
         index = index.reshape(words.shape)
         for lane in self.lanes:
@@ -116,34 +144,70 @@ class Landmarks:
                     masks[alphabet == ord(c)] |= np.uint64(1 << (start + i))
             full = np.uint64(full)
             rows = np.full(len(words), full, np.uint64)
-            for i in range(words.shape[1]):
-                hit = rows & masks[index[:, i]]
-                rows = ((rows + hit) | (rows - hit)) & full
+            if words.shape[1] <= 8 * CHUNK:
+                for i in range(words.shape[1]):
+                    hit = rows & masks[index[:, i]]
+                    rows = ((rows + hit) | (rows - hit)) & full
+            else:  # few long words, one by one
+                numbers, whole = masks.tolist(), int(full)
+                for k, word in enumerate(index):
+                    left = whole
+                    for c in filter(None, map(numbers.__getitem__, word.tolist())):
+                        hit = left & c
+                        left = ((left + hit) | (left - hit)) & whole
+                    rows[k] = left
             for k, start, n in lane:
                 mask = np.uint64(((1 << n) - 1) << start)
                 common = n - np.bitwise_count(rows & mask).astype(np.int64)
-                yield k, np.flatnonzero(common >= ORDER)
+                yield k, np.flatnonzero(common >= max(ORDER, ceil(SHARED * n)))
 
     def similar(self, words: list[str]) -> np.ndarray:
-        """A row for each word, a column for each landmark."""
+        """A row for each word, a column for each landmark: the similarity to the nearest one, 0 to the others."""
         out = np.zeros((len(words), len(self.strings)), np.float32)
-        pieces, of = [], []
-        for k, w in enumerate(words):
-            for i in range(0, max(1, len(w) - WORD // 2), WORD // 2):
-                pieces.append(w[i : i + WORD])
-                of.append(k)
-        of = np.array(of, np.int64)
-        order = np.argsort([len(p) for p in pieces], kind="stable")
-        for i in range(0, len(order), 20_000):
-            part = order[i : i + 20_000]
-            matrix, lengths = codes([pieces[k] for k in part])
+        order = np.argsort([len(w) for w in words], kind="stable")
+        start = 0
+        while start < len(order):
+            end = min(len(order), start + 20_000)
+            while end - start > 1 and len(words[order[end - 1]]) * (end - start) > CELLS:
+                end = (start + end) // 2
+            part = order[start:end]
+            start = end
+            matrix, lengths = codes([words[k] for k in part])
             for k, rows in self.near(matrix, lengths):
                 landmark = codes([self.strings[k]])[0][0]
                 for j in range(0, len(rows), 2000):
                     some = rows[j : j + 2000]
-                    value = np.minimum(1, kernel(matrix[some], lengths[some], landmark) / self.own[k])
-                    np.maximum.at(out[:, k], of[part[some]], value.astype(np.float32))
-        return out
+                    out[part[some], k] = np.minimum(1, kernel(matrix[some], lengths[some], landmark) / self.own[k])
+        # Words that only share a beginning with a family of landmarks would add up to as much as one of the family.
+        nearest = np.zeros_like(out)
+        if out.size:
+            at = (np.arange(len(out)), out.argmax(axis=1))
+            nearest[at] = out[at]
+        return nearest
+
+    def split_words(self) -> tuple[set[str], set[str], set[str]]:
+        """Proper beginnings, middles and ends of landmarks: what their parts are where white space splits them."""
+        bodies = [s[1:] for s in self.strings]
+        begins = {b[:i] for b in bodies for i in range(1, len(b))}
+        return begins, {b[i:j] for b in bodies for i in range(1, len(b)) for j in range(i + 1, len(b))}, {b[i:] for b in bodies for i in range(1, len(b))}
+
+    def joined(self, words: list[str], at: int, stop: int) -> str | None:
+        """The words from `at` on as one with a gap, if they spell a landmark, whatever follows in the last of them."""
+        first = plain(words[at])[1:]
+        for s in self.strings:
+            rest, i, parts = s[1 + len(first) :], at, []
+            if not s.startswith(START + first) or not rest:
+                continue
+            while i + 1 < stop and words[i][-1] not in ENDING:
+                i += 1
+                body = plain(words[i])[1:]
+                parts.append(body)
+                if body.startswith(rest):
+                    return START + first + " " + "".join(parts)
+                if not body or not rest.startswith(body):
+                    break
+                rest = rest[len(body) :]
+        return None
 
 
 def words_of(text: str) -> list[str]:
@@ -158,83 +222,115 @@ class Reader:
 
     def __init__(self, landmarks: Landmarks, memo: int = MEMO):
         self.landmarks, self.most = landmarks, memo
+        self.begins, self.middles, self.ends = landmarks.split_words()
+        self.longest = max(map(len, self.ends), default=0)
         self.clear()
 
     def clear(self) -> None:
-        """Codes of words: row of the similarity matrix, twice, and 1 if a sentence ends."""
+        """Codes of words: row of the similarity matrix, then 4 if it may go on a split landmark, 2 if begin one, 1 if a sentence ends."""
         self.memo: dict[str, int] = {}
         self.rows = [np.zeros((1, len(self.landmarks.strings)), np.float32)]
-        self.size = 1
-
-    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities of sentences, and the text that each is from."""
+        self.size, self.held = 1, 0
+
+    def _rows(self, strings: list[str]) -> list[int]:
+        """Rows of the similarity matrix, 0 for none."""
+        values = self.landmarks.similar(strings)
+        some = values.any(axis=1)
+        where = np.where(some, self.size - 1 + some.cumsum(), 0)
+        self.rows.append(values[some])
+        self.size += int(some.sum())
+        return where.tolist()
+
+    def _part(self, word: str) -> int:
+        if not word:
+            return 0
+        goes_on = word in self.middles or any(word[:k] in self.ends for k in range(1, min(len(word), self.longest) + 1))
+        return 4 * goes_on + 2 * (word in self.begins)
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of self.rows[0] for the words with any similarity, and the text that each is from."""
         words = [words_of(t) for t in texts]
-        if len(self.memo) > self.most:
+        if self.held > self.most:
             self.clear()
         new = list(set().union(*words).difference(self.memo))
         if new:
             read = [plain(w) for w in new]
             distinct = list(set(read))
-            values = self.landmarks.similar(distinct)
-            some = values.any(axis=1)
-            where = np.where(some, self.size - 1 + some.cumsum(), 0)
-            self.rows.append(values[some])
-            self.size += int(some.sum())
-            at = dict(zip(distinct, where.tolist(), strict=True))
-            self.memo.update((w, at[p] << 1 | (w[-1] in ".!?")) for w, p in zip(new, read, strict=True))
-        if len(self.rows) > 1:
-            self.rows = [np.concatenate(self.rows)]
+            at = {p: row << 3 | self._part(p[1:]) for p, row in zip(distinct, self._rows(distinct), strict=True)}
+            self.memo.update((w, at[p] | (w[-1] in ENDING)) for w, p in zip(new, read, strict=True))
+            self.held += 100 * len(new) + sum(map(len, new))
         counts = np.array([len(w) for w in words], np.int64)
-        get = self.memo.__getitem__
-        all_ = np.fromiter(map(get, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        flat = list(chain.from_iterable(words))
+        all_ = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
         of = np.repeat(np.arange(len(texts)), counts)
         ends = (all_ & 1).astype(bool)
         ends[counts.cumsum()[counts > 0] - 1] = True
         sentence = np.concatenate(([0], ends.cumsum()[:-1])) if len(ends) else np.zeros(0, np.int64)
-        hit = np.flatnonzero(all_ >> 1)
-        if not len(hit):
-            return np.zeros((0, len(self.landmarks.strings)), np.float32), np.zeros(0, np.int64)
-        first = np.concatenate(([0], np.flatnonzero(np.diff(sentence[hit])) + 1))
-        values = self.rows[0][all_[hit] >> 1]
-        return np.maximum.reduceat(values, first, axis=0), of[hit[first]]
+        hit = np.flatnonzero(all_ >> 3)
+        rows = all_[hit] >> 3
+        begins = np.flatnonzero((all_[:-1] & 2 > 0) & (all_[1:] & 4 > 0) & (sentence[:-1] == sentence[1:]))
+        if len(begins):
+            stops = counts.cumsum()
+            found = [(j, x) for j in begins.tolist() if (x := self.landmarks.joined(flat, j, int(stops[of[j]])))]
+            fresh = list({x for _, x in found}.difference(self.memo))
+            self.memo.update(zip(fresh, (r << 3 for r in self._rows(fresh)), strict=True))
+            self.held += sum(100 + len(x) for x in fresh)
+            hit = np.concatenate([hit, np.array([j for j, _ in found], np.int64)])
+            rows = np.concatenate([rows, np.array([self.memo[x] >> 3 for _, x in found], np.int64)])
+        if len(self.rows) > 1:
+            self.rows = [np.concatenate(self.rows)]
+        return rows[rows > 0], of[hit[rows > 0]]
 
 
 def choose(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Landmarks: word beginnings and words that cover toxic documents not covered yet and are rare in clean ones."""
+    """Landmarks: word beginnings that toxic documents hold more often than chance allows, chosen to cover those documents."""
     copies: tuple[set, set] = (set(), set())
+    known: dict[str, tuple[str, ...]] = {}  # a word as it stands: its beginnings that count
 
-    def parts(label: bool) -> Iterator[set[str]]:
+    def parts(label: bool, among: Counter = Counter()) -> Iterator[set[str]]:
         for text in (t for t, y in zip(texts, toxic, strict=True) if y == label):
             read = words_of(text)
             least = min((crc32(f"{a} {b}".encode()) for a, b in zip(read, read[1:], strict=False)), default=-1)
             if least in copies[label]:  # what only copies of one document share doesn't mark anything
                 continue
             copies[label].add(least)
-            words = {w for w in map(plain, read) if len(w) >= ORDER}
-            yield {w[:k] for w in words for k in range(ORDER, min(len(w), LONGEST) + 1)}
+            read = set(read)
+            for word in read.difference(known):
+                w = plain(word)
+                known[word] = tuple(x for k in range(ORDER, min(len(w), LONGEST) + 1) if (x := w[:k]) in among or not among)
+            yield set().union(*map(known.__getitem__, read))
 
     marked = Counter(s for d in parts(True) for s in d)
-    bound = max(3, len(copies[1]) // 50)
-    marked = Counter({s: c for s, c in marked.items() if c >= bound})
+    marked = Counter({s: c for s, c in marked.items() if c > 2})
+    known.clear()
     copies[1].clear()
-    docs = [d & marked.keys() for d in parts(True)]
-    plain_ = Counter(s for d in parts(False) for s in d & marked.keys())
-    n_clean = max(1, len(copies[0]))
-    strong = {s for s, c in marked.items() if c / max(1, len(docs)) > 20 * (plain_[s] + 0.5) / n_clean}
-    open_, out = [d & strong for d in docs], []
+    docs = list(parts(True, marked))
+    clean = Counter(s for d in parts(False, marked) for s in d)
+    share = len(docs) / max(1, len(docs) + len(copies[0]))
+    needed = log(max(1, len(marked)) / LUCK)
+
+    def beyond_luck(c: int, n: int) -> bool:
+        """Chernoff's bound on c toxic documents or more among the n that hold a string."""
+        p = c / n
+        return p >= max(PURE, share) and n * (p * log(p / share) + (0 if p == 1 else (1 - p) * log((1 - p) / (1 - share)))) > needed
+
+    strong = {s for s, c in marked.items() if beyond_luck(c, c + clean[s])}
+    docs = [d & strong for d in docs]
+    open_, out = docs, []
     while len(out) < LANDMARKS:
         cover = Counter(s for d in open_ for s in d)
         if not cover:
             break
         most = max(cover.values())
         # Of beginnings that cover about as many, the one that clean texts have least, then the longest.
-        best = max((s for s, c in cover.items() if c >= 0.85 * most), key=lambda s: (-plain_[s], cover[s] >= 0.98 * most, len(s), cover[s], s))
+        best = max((s for s, c in cover.items() if c >= 0.85 * most), key=lambda s: (-clean[s], cover[s] >= 0.98 * most, len(s), cover[s], s))
         out.append(best)
         gone = {s for s in strong if s.startswith(best) or best.startswith(s)}
         strong -= gone
+        docs = [d - gone for d in docs]
         left = [d - gone for d in open_ if best not in d]
         # Documents have several insults: once each has a landmark, look for others that are as frequent.
-        open_ = left if any(left) else [d & strong for d in docs]
+        open_ = left if any(left) else docs
     return out
 
 
@@ -248,22 +344,25 @@ class Model:
 
     def __post_init__(self):
         self.reader = Reader(Landmarks(self.landmarks))
+        self.known = np.zeros(0)
 
     def __reduce__(self):
         return Model, (self.landmarks, self.weights, self.bias, self.slope, self.offset)
 
     def margins(self, texts: list[str]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
-        values, of = self.reader.sentences(texts)
-        if len(of):
-            np.maximum.at(out, of, values @ self.weights + self.bias)
+        rows, of = self.reader.words(texts)
+        if len(rows):
+            if len(self.known) != len(self.reader.rows[0]):
+                self.known = self.reader.rows[0] @ self.weights + self.bias
+            np.maximum.at(out, of, self.known[rows])
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -50, 50)))
 
 
-def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
+def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])
@@ -303,29 +402,35 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     own = landmarks.similar(chosen).astype(float)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T  # Nystroem: features are similarities @ root
-    reader = Reader(landmarks, memo=100_000)
-    parts = [reader.sentences(texts[i : i + 500]) for i in range(0, len(texts), 500)]
-    sentences = np.concatenate([p[0] for p in parts])
+    reader = Reader(landmarks, memo=2**62)  # the training texts are bounded
+    parts = [reader.words(texts[i : i + 500]) for i in range(0, len(texts), 500)]
+    rows = np.concatenate([p[0] for p in parts])
     of = np.concatenate([p[1] + 500 * i for i, p in enumerate(parts)])
+    values = reader.rows[0]
     del reader, parts
-    features = sentences @ root
-    rank = sentences.max(axis=1).astype(float)
+
+    def examples(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that differ, and a weight that grows slowly with how often each occurs."""
+        different, counts = np.unique(rows[some], return_counts=True)
+        return values[different] @ root, 1 + np.log(counts)
+
+    near = values.max(axis=1)[rows]
+    positive, p_weight = examples(toxic[of] & (near >= SURE))
+    negative, n_weight = examples(~toxic[of] & (near >= UNSURE))
+    negative, n_weight = np.vstack([negative, np.zeros((1, len(chosen)))]), np.append(n_weight, 1.0)
     # Each landmark with one more character inside is a positive example too.
-    inserted = landmarks.similar([s[:i] + " " + s[i:] for s in chosen for i in range(2, len(s))]) @ root
-    sure = toxic[of] & (rank >= SURE)
-    for _ in range(4):
-        order = np.lexsort((rank, of))
-        best = order[np.flatnonzero(np.diff(of[order], append=-1))]
-        best = np.union1d(best[~toxic[of[best]]], np.flatnonzero(sure))
-        x, y = features[best], np.where(toxic[of[best]], 1.0, -1.0)
-        balance = np.where(y > 0, max(1.0, (y < 0).sum() / max(1, (y > 0).sum()) / 2), 1.0)
-        x, y, balance = np.vstack([x, inserted]), np.append(y, np.ones(len(inserted))), np.append(balance, np.full(len(inserted), 12.0))
-        w, bias = machine(x, y, balance)
-        weights = root @ w
-        rank = sentences @ weights
+    inserted = [landmarks.similar([s[:i] + " " + s[i:] for i in range(2, len(s))]) for s in chosen]
+    gapped = np.vstack(inserted) @ root
+    g_weight = np.concatenate([np.full(len(x), 1 / len(x)) for x in inserted])
+    even = n_weight.sum() / BALANCE
+    x = np.vstack([positive, gapped, negative])
+    y = np.concatenate([np.ones(len(positive) + len(gapped)), -np.ones(len(negative))])
+    weight = np.concatenate([p_weight * even / max(1, p_weight.sum()), g_weight * even / g_weight.sum(), n_weight])
+    w, bias = machine(x, y, weight)
+    weights = root @ w
     margins = np.full(len(texts), bias)
-    np.maximum.at(margins, of, sentences @ weights + bias)
-    varied = landmarks.similar([s[: len(s) // 2 + 1] + " " + s[len(s) // 2 + 1 :] for s in chosen]) @ weights + bias
+    np.maximum.at(margins, of, (values @ weights + bias)[rows])
+    varied = np.vstack([x[len(x) // 2] for x in inserted]) @ weights + bias
     slope, offset = logistic(np.append(margins, varied), np.append(toxic, np.ones(len(varied), bool)))
     return Model(chosen, weights, bias, slope, offset)
 

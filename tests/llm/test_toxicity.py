@@ -23,10 +23,30 @@ def test_kernel_counts_gapped_subsequences():
     for landmark in ("abcda", "aabbcc", "dcbad"):
         got = tox.kernel(*tox.codes(words), tox.codes([landmark])[0][0])
         assert np.allclose(got, [enumerated(w, landmark) for w in words], rtol=1e-4)
-    marks = tox.Landmarks(["abcda", "aabbcc", "dcbad"] * 5)
+    marks = tox.Landmarks(["abcda", "aabbcc", "dcbadb", "cabdabcd"] * 4)
     got = marks.similar(words)
-    want = [[min(1, enumerated(w, t) / enumerated(t, t)) for t in marks.strings] for w in words]
-    assert np.allclose(got, want, atol=1e-4)
+    for w, row in zip(words, got, strict=True):
+        want = [min(1, enumerated(w, t) / enumerated(t, t)) if common(w, t) >= max(tox.ORDER, 0.7 * len(t)) else 0 for t in marks.strings]
+        assert np.count_nonzero(row) <= 1 and np.isclose(row.max(), max(want), atol=1e-4) and np.isclose(want[int(row.argmax())], row.max(), atol=1e-4)
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *(0 for _ in b)] if not row else [0, *np.maximum.accumulate([max(row[j + 1], row[j] + (x == y)) for j, y in enumerate(b)]).tolist()]
+    return row[-1]
+
+
+def test_long_words_are_whole(monkeypatch):
+    pick = random.Random(2)
+    words = ["".join(pick.choices("abcde", k=n)) for n in (3, 63, 64, 65, 130, 700)]
+    marks = tox.Landmarks(["abcda", "ecbadb"])
+    got = [tox.kernel(*tox.codes([w]), tox.codes(["ecbadb"])[0][0])[0] for w in words]
+    similar = marks.similar([*words, "z" * 3000 + "ecxbadb" + "z" * 3000])
+    monkeypatch.setattr(tox, "CHUNK", 1024)
+    assert np.allclose(got, [tox.kernel(*tox.codes([w]), tox.codes(["ecbadb"])[0][0])[0] for w in words], rtol=1e-4)
+    assert np.allclose(similar[:-1], marks.similar(words), atol=1e-4) and similar[-1, 1] >= 0.69
 
 
 def corpus(n, seed):
@@ -53,6 +73,19 @@ def test_learns_and_tolerates_inserted_characters():
     assert (said & truth).sum() > 0.9 * truth.sum() and (said & ~truth).sum() < 0.02 * (~truth).sum()
     assert (model.scores(["an re grobxnik th", "you g r o b n i k", "zuk-fald", "zukf@ld here"]) >= tox.THRESHOLD).all()
     assert (model.scores(["", "an re th ouer stin", "x" * 5000]) < tox.THRESHOLD).all()
+    for gap in ("k", "u", "-", "*", " "):
+        found = [f"re {w[:i]}{gap}{w[i:]} an th" for w in ("grobnik", "zukfald", "plodvex") for i in range(1, len(w))]
+        assert (model.scores(found) >= tox.THRESHOLD).mean() >= 0.9, gap
+    assert (model.scores(["gr ob nik an", "Grob  nik", "g\nr\no\nb\nn\ni\nk"]) >= tox.THRESHOLD).all()
+    assert (model.scores(["grob. nik an", "nik grob"]) < tox.THRESHOLD).all()
+
+
+def test_few_documents_make_no_landmark():
+    texts = [f"word{i % 7}x other{i % 11}y more{i % 13}z" for i in range(300)]
+    toxic = np.arange(300) % 10 == 0
+    for i in (10, 20, 30):
+        texts[i] += " raretoken"
+    assert tox.choose(texts, toxic) == []
 
 
 def test_query_rows(spark):
