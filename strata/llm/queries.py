@@ -69,7 +69,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_exact_dedup, op3_html_text, op4_toxicity, op5_pii_surrogates, op6_substring_dedup, op7_simhash, op8_warc, op9_url_filter, op10_decontamination)
 }
 
+def _url_sql() -> str:
+    """The rules, the features and the fitted trees in SQL."""
+    trees = url_filter.Trees([url_filter.described(u) for u, _ in url_filter.invented()], [y for _, y in url_filter.invented()])
+    fits = [(action, rule, *rule.partition("/")[::2]) for action, rule in sorted(URL_RULES, key=lambda r: -len(r[1]))]
+    case = lambda said: "CASE " + " ".join(f"WHEN ('.' || host) LIKE '%.{h}' AND starts_with(path, '/{p}') THEN '{said(a, r)}'" for a, r, h, p in fits) + " END"
+    odds = lambda name: f"coalesce(CASE {name} " + " ".join(f"WHEN '{k}' THEN {v:.17e}" for k, v in trees.odds[name].items()) + f" END, 0e0) AS {name}_odds"
+    n = lambda where, pattern: f"CAST(len(regexp_extract_all({where}, '{pattern}')) AS DOUBLE)"
+    return rf"""
+        WITH r AS (SELECT page_id, coalesce(url, '') AS u, CASE WHEN contains(u, '://') THEN substr(u, strpos(u, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, u, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+        f AS (SELECT *, CAST(length(u) AS DOUBLE) AS length, CAST(length(host) AS DOUBLE) AS host_length, {n("path", "/+[^/]")} AS depth, {n("host", "[^.]+")} AS labels,
+                     {n("u", "[0-9]")} / greatest(length(u), 1) AS digit_ratio, {n("host", "[0-9]")} AS host_digits, {n("host", "-")} AS hyphens,
+                     {n("host", "[aeiou]")} / greatest(length(host), 1) AS vowel_ratio,
+                     round(CASE WHEN host = '' THEN 0e0 ELSE list_aggregate(string_split(host, ''), 'entropy') END, 6) AS entropy,
+                     {n("regexp_extract(u, '[?]([^#]*)', 1)", "[^&]+")} AS parameters, CASE WHEN starts_with(u, 'https:') THEN 1e0 ELSE 0e0 END AS secure,
+                     string_split(host, '.')[-1] AS top, CASE WHEN contains(string_split(path, '/')[-1], '.') THEN string_split(string_split(path, '/')[-1], '.')[-1] ELSE '' END AS ending
+              FROM p),
+        o AS (SELECT *, {odds("top")}, {odds("ending")} FROM f)
+        SELECT page_id, host, path, {case(lambda a, r: r)} AS rule,
+               coalesce({case(lambda a, r: a)}, CASE WHEN {trees.sql()} > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM o"""
+
+
 ORACLES: dict[str, str] = {
+    "op9_url_filter": _url_sql(),
     "op2_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,

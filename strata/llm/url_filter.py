@@ -4,6 +4,10 @@ The path of the data is DataFrame functions only. Features of labelled URLs are
 those of the table; the trees are grown on the driver from at most MAX_LABELLED rows and become CASE expressions, so a
 verdict is one projection without a shuffle.
 
+Labelled URLs are a table (url, label; 1 is block). Without one the trees learn from invented URLs (invented()), whose
+names are random syllables and whose habits are those commonly told of unwanted addresses: many hyphens, digits, random
+names, long parameter lists, numeric hosts, cheap suffixes; each kind also has a share of the other's habits.
+
 Host: what stands after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: from there up to `?`, `#`
 or the end. A rule fits its host and all subdomains where the path starts with the rule's; the longest rule wins, of
 equally long ones that with the longer host, then a block.
@@ -16,39 +20,52 @@ get their row; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+import random
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ALLOW, BLOCK = "allow", "block"
-MAX_LABELLED, TREES, DEPTH, RATE, CUTS, LEAST = 5000, 30, 3, 0.3, 16, 8
+MAX_LABELLED, TREES, DEPTH, RATE, CUTS, LEAST = 5000, 40, 3, 0.3, 16, 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-#: Words of hosts that serve adverts, tracking, gambling or unsolicited offers, and of ordinary hosts.
-SPAM_WORDS = (
-    "cheap casino pills bets spam farm free win ads track loan loans poker viagra bonus jackpot replica rolex payday click promo deals "
-    "adserver banner doubleclick tracker pixel lottery crypto miracle slimming escort adult xxx porn torrent warez keygen"
-).split()
-PLAIN_WORDS = (
-    "news library garden history science museum river school city weather travel music kitchen forest mountain letters village market "
-    "paper bridge harbour island morning winter summer theatre physics biology journal archive review guide forum radio studio health sport"
-).split()
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """Labelled URLs (1: block) made by rule from the words above: hosts of one or two words, several paths."""
+#: Suffixes of invented URLs and how often each is drawn for ordinary and for unwanted ones.
+TOPS = {"com": (40, 30), "org": (15, 4), "net": (10, 10), "edu": (6, 0), "de": (6, 3), "fr": (5, 2), "info": (3, 9), "xyz": (1, 11), "top": (1, 11), "click": (0, 6), "biz": (1, 6)}
+ENDINGS = {"": (60, 55), "html": (20, 10), "php": (6, 20), "pdf": (5, 1), "exe": (0, 4)}
+
+
+def invented(n: int = 3000, seed: int = 1) -> list[tuple[str, int]]:
+    """n labelled URLs, a third of them unwanted. Other seeds give other names."""
+    pick = random.Random(seed)
+    syllable = lambda: pick.choice("bcdfghjklmnprstvwz") + pick.choice("aeiou") + pick.choice(["", "", "n", "r", "s", "l"])
+    word = lambda most=3: "".join(syllable() for _ in range(pick.randint(1, most)))
+    noise = lambda low, high: "".join(pick.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=pick.randint(low, high)))
+    drawn = lambda table, k: pick.choices(list(table), [w[k] for w in table.values()])[0]
     out = []
-    paths = ("/en/{}", "/{}.html", "/de/{}/", "/{}?page=2&ref=x", "/fr/{}#top", "/a/b/{}?utm_source=feed")
-    for label, words in ((1, SPAM_WORDS), (0, PLAIN_WORDS)):
-        for i, word in enumerate(words):
-            other = words[(7 * i + 3) % len(words)]
-            hosts = (f"{word}-{other}.example.com", f"www.{other}-{word}.example.org", f"{word}.example.net", f"m.{word}-{other}.example.com")
-            if not label:
-                stem = word[:3] + other[-4:]
-                hosts = (f"{word}.example.com", f"www.{stem}.example.org", f"blog.{stem}{word[-2:]}.example.net", f"m.th{stem[-4:]}.example.com")
-            for k, host in enumerate(hosts):
-                out.append((f"http{'s' * (k % 2)}://{host}" + paths[(i + k) % len(paths)].format(17 * i + 101 * k), label))
+    for i in range(n):
+        bad = int(i % 3 == 0)
+        habit = pick.choices(("plain", "hyphens", "noise", "digits", "number"), ((72, 20, 2, 5, 1), (12, 48, 18, 16, 6))[bad])[0]
+        if habit == "number":
+            host = ".".join(str(pick.randint(1, 254)) for _ in range(4))
+        else:
+            name = {
+                "plain": lambda: "".join(word() for _ in range(pick.randint(1, 2))),
+                "hyphens": lambda: "-".join(word() for _ in range(pick.randint(2, 3 + bad))),
+                "noise": lambda: noise(8, 18),
+                "digits": lambda: word() + str(pick.randint(1, 9999)),
+            }[habit]()
+            before = pick.choices(["", "www.", word(2) + ".", noise(4, 9) + "."], ((40, 40, 18, 2), (45, 20, 20, 15))[bad])[0]
+            host = f"{before}{name}.{drawn(TOPS, bad)}"
+        steps = [word() if pick.random() < (0.8, 0.55)[bad] else noise(3, 12) for _ in range(pick.randint(0, 4))]
+        ending = drawn(ENDINGS, bad)
+        path = "".join("/" + x for x in steps) + (f".{ending}" if steps and ending else "/" * pick.randint(0, 1))
+        many = pick.choices((0, 1, 2, 4, 7), ((75, 15, 7, 2, 1), (40, 15, 20, 15, 10))[bad])[0]
+        query = "&".join(f"{word(1)}={noise(1, (6, 14)[bad])}" for _ in range(many))
+        secure = "s" * (pick.random() < (0.85, 0.5)[bad])
+        out.append((f"http{secure}://{host}{path}{'?' * bool(query)}{query}", bad))
     return out
 
 
@@ -81,34 +98,59 @@ def entropy(text: Column) -> Column:
 
 def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     text = F.coalesce(url.cast("string"), F.lit(""))
-    n = F.greatest(F.length(text), F.lit(1))
     query = F.regexp_extract(text, r"\?([^#]*)", 1)
-    label = F.regexp_extract(host, r"(?:^|\.)([^.]*)\.[^.]+\.[^.]+$", 1)
+    count = lambda where, pattern: F.regexp_count(where, F.lit(pattern)).cast("double")
+    share = lambda where, pattern: count(where, pattern) / F.greatest(F.length(where), F.lit(1))
     return {
         "length": F.length(text).cast("double"),
         "host_length": F.length(host).cast("double"),
-        "depth": F.regexp_count(path, F.lit(r"/+[^/]")).cast("double"),
-        "labels": F.regexp_count(host, F.lit(r"[^.]+")).cast("double"),
-        "digit_ratio": F.regexp_count(text, F.lit(r"[0-9]")) / n,
-        "host_digits": F.regexp_count(host, F.lit(r"[0-9]")).cast("double"),
-        "hyphens": F.regexp_count(host, F.lit(r"-")).cast("double"),
-        "vowel_ratio": F.regexp_count(label, F.lit(r"[aeiouy]")) / F.greatest(F.length(label), F.lit(1)),
-        "entropy": entropy(host),
-        "parameters": F.regexp_count(query, F.lit(r"[^&=]+=?[^&]*")).cast("double"),
+        "depth": count(path, "/+[^/]"),
+        "labels": count(host, "[^.]+"),
+        "digit_ratio": share(text, "[0-9]"),
+        "host_digits": count(host, "[0-9]"),
+        "hyphens": count(host, "-"),
+        "vowel_ratio": share(host, "[aeiou]"),
+        "entropy": F.round(entropy(host), 6),
+        "parameters": count(query, "[^&]+"),
         "secure": F.startswith(text, F.lit("https:")).cast("double"),
     }
 
 
-SUFFIXES = {
-    "top": r"([^.]*)$",
-    "name_end": r"(?:^|[.\-])[^.\-]*?([^.\-]{1,4})\.[^.]+\.[^.]+$",
-    "name_word": r"(?:^|[.\-])([^.\-]+)\.[^.]+\.[^.]+$",
-    "first_word": r"^(?:www\.|m\.|blog\.)?([^.\-]+)",
-}
+def suffixes(host: Column, path: Column) -> dict[str, Column]:
+    """What stands last: the host's top label, and the ending of a file name."""
+    last = F.substring_index(path, "/", -1)
+    return {"top": F.substring_index(host, ".", -1), "ending": F.when(F.contains(last, F.lit(".")), F.substring_index(last, ".", -1)).otherwise("")}
 
 
-def suffixes(host: Column) -> dict[str, Column]:
-    return {name: F.regexp_extract(host, pattern, 1) for name, pattern in SUFFIXES.items()}
+SUFFIXES = ("top", "ending")
+
+
+def described(url: str) -> dict:
+    """The features and suffixes of one URL in plain Python, for tests and for the SQL that says the same."""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if c in UPPER else c for c in host)
+    query = re.search(r"\?([^#]*)", url)
+    count = lambda where, pattern: float(len(re.findall(pattern, where)))
+    shares = [c / len(host) for c in Counter(host).values()]
+    last = path.rsplit("/", 1)[-1]
+    return {
+        "length": float(len(url)),
+        "host_length": float(len(host)),
+        "depth": count(path, "/+[^/]"),
+        "labels": count(host, "[^.]+"),
+        "digit_ratio": count(url, "[0-9]") / max(1, len(url)),
+        "host_digits": count(host, "[0-9]"),
+        "hyphens": count(host, "-"),
+        "vowel_ratio": count(host, "[aeiou]") / max(1, len(host)),
+        "entropy": round(-sum(x * math.log2(x) for x in shares), 6) + 0.0,
+        "parameters": count(query[1] if query else "", "[^&]+"),
+        "secure": float(url.startswith("https:")),
+        "top": host.rsplit(".", 1)[-1],
+        "ending": last.rsplit(".", 1)[-1] if "." in last else "",
+        "url": url,
+    }
 
 
 class Trees:
@@ -116,61 +158,48 @@ class Trees:
 
     def __init__(self, rows: list[dict], labels: list[int]):
         self.base, self.trees, self.odds = 0.0, [], {}
-        blocked = sum(labels)
-        if not rows or blocked in (0, len(rows)):
-            self.base = 4.0 if rows and blocked else -4.0
+        order = sorted(range(len(rows)), key=lambda i: (rows[i]["url"], labels[i]))
+        rows, y = [rows[i] for i in order], np.array([labels[i] for i in order], float)
+        if not rows or y.min() == y.max():
+            self.base = 4.0 if rows and y[0] else -4.0
             return
-        prior = math.log(blocked / (len(rows) - blocked))
+        names = sorted(k for k, v in rows[0].items() if isinstance(v, float))
+        values = {n: np.array([r[n] for r in rows]) for n in names}
         for name in SUFFIXES:
             tally: dict[str, list[int]] = {}
-            for row, y in zip(rows, labels, strict=True):
-                tally.setdefault(row[name], [0, 0])[y] += 1
-            self.odds[name] = {k: round(math.log((b + 1) / (a + 1)), 6) for k, (a, b) in sorted(tally.items()) if a + b > 1}
-            for row, y in zip(rows, labels, strict=True):
-                a, b = tally[row[name]]
-                row[f"{name}_odds"] = math.log((b - y + 1) / (a - (1 - y) + 1)) if a + b > 1 else 0.0  # without the row itself
-        names = sorted(k for k, v in rows[0].items() if isinstance(v, float))
-        cuts = {}
-        for name in names:
-            values = sorted({r[name] for r in rows})
-            picked = values if len(values) <= CUTS else [values[len(values) * i // CUTS] for i in range(CUTS)]
-            cuts[name] = sorted(set(picked))[1:]
-        self.base = prior
-        margin = [prior] * len(rows)
+            for row, label in zip(rows, y, strict=True):
+                tally.setdefault(row[name], [0, 0])[int(label)] += 1
+            # Rare suffixes say nothing: with few rows their odds would be their own labels.
+            self.odds[name] = {k: round(math.log((b + 1) / (a + 1)), 6) for k, (a, b) in sorted(tally.items()) if a + b >= LEAST}
+            values[f"{name}_odds"] = np.array([self.odds[name].get(r[name], 0.0) for r in rows])
+        bins = {}
+        for name, column in sorted(values.items()):
+            different = np.unique(column)
+            bounds = different[1:] if len(different) <= CUTS else np.unique(different[[len(different) * i // CUTS for i in range(1, CUTS)]])
+            bins[name] = (bounds.tolist(), np.searchsorted(bounds, column, "right"))
+        self.base = math.log(y.mean() / (1 - y.mean()))
+        margin = np.full(len(rows), self.base)
         for _ in range(TREES):
-            chance = [1 / (1 + math.exp(-m)) for m in margin]
-            slope = [y - p for y, p in zip(labels, chance, strict=True)]
-            curve = [p * (1 - p) for p in chance]
-            tree = self._grow(rows, slope, curve, list(range(len(rows))), names, cuts, DEPTH)
-            self.trees.append(tree)
-            margin = [m + self._value(tree, r) for m, r in zip(margin, rows, strict=True)]
-
-    def _grow(self, rows, slope, curve, at, names, cuts, depth):
-        g, h = sum(slope[i] for i in at), sum(curve[i] for i in at)
-        best = (1e-6, None, None)
-        for name in names if depth else ():
-            bounds = cuts[name]
-            sums = [[0.0, 0.0, 0] for _ in range(len(bounds) + 1)]
-            for i in at:
-                value, k = rows[i][name], 0
-                while k < len(bounds) and value >= bounds[k]:
-                    k += 1
-                s = sums[k]
-                s[0] += slope[i]
-                s[1] += curve[i]
-                s[2] += 1
-            a = b = n = 0
-            for k, bound in enumerate(bounds):
-                a, b, n = a + sums[k][0], b + sums[k][1], n + sums[k][2]
-                if min(n, len(at) - n) >= LEAST:
-                    gain = a * a / (b + 1) + (g - a) ** 2 / (h - b + 1) - g * g / (h + 1)
-                    if gain > best[0]:
-                        best = (gain, name, bound)
+            chance = 1 / (1 + np.exp(-margin))
+            self.trees.append(self._grow(y - chance, chance * (1 - chance), np.arange(len(rows)), bins, DEPTH, margin))
+
+    def _grow(self, slope, curve, at, bins, depth, margin):
+        """A tree over the rows `at`; margins take its values."""
+        g, h = slope[at].sum(), curve[at].sum()
+        best = (1e-6, None, 0)
+        for name, (bounds, bin_) in bins.items() if depth else ():
+            here = bin_[at]
+            a, b, n = (np.bincount(here, w, len(bounds) + 1)[:-1].cumsum() for w in (slope[at], curve[at], None))
+            gain = np.where(np.minimum(n, len(at) - n) >= LEAST, a * a / (b + 1) + (g - a) ** 2 / (h - b + 1) - g * g / (h + 1), 0.0)
+            if len(gain) and gain.max() > best[0] + 1e-9:
+                best = (gain.max(), name, int(gain.argmax()))
         if best[1] is None:
-            return round(RATE * g / (h + 1), 9)
-        low = [i for i in at if rows[i][best[1]] < best[2]]
-        high = [i for i in at if rows[i][best[1]] >= best[2]]
-        return (best[1], best[2], self._grow(rows, slope, curve, low, names, cuts, depth - 1), self._grow(rows, slope, curve, high, names, cuts, depth - 1))
+            leaf = round(float(RATE * g / (h + 1)), 9)
+            margin[at] += leaf
+            return leaf
+        bounds, bin_ = bins[best[1]]
+        low = bin_[at] <= best[2]
+        return (best[1], bounds[best[2]], self._grow(slope, curve, at[low], bins, depth - 1, margin), self._grow(slope, curve, at[~low], bins, depth - 1, margin))
 
     def _value(self, tree, row) -> float:
         while isinstance(tree, tuple):
@@ -180,18 +209,20 @@ class Trees:
     def margin(self, row: dict) -> float:
         return self.base + sum(self._value(t, row) for t in self.trees)
 
+    def _written(self, leaf: Callable, fork: Callable, plus: Callable):
+        of = lambda tree: fork(*tree[:2], of(tree[2]), of(tree[3])) if isinstance(tree, tuple) else leaf(tree)
+        out = leaf(self.base)
+        for tree in self.trees:
+            out = plus(out, of(tree))
+        return out
+
     def column(self) -> Column:
         """The log odds of blocking, over columns of the features."""
+        return self._written(lambda x: F.lit(float(x)), lambda name, cut, a, b: F.when(F.col(name) < cut, a).otherwise(b), lambda a, b: a + b)
 
-        def of(tree) -> Column:
-            if not isinstance(tree, tuple):
-                return F.lit(float(tree))
-            return F.when(F.col(tree[0]) < tree[1], of(tree[2])).otherwise(of(tree[3]))
-
-        out = F.lit(float(self.base))
-        for tree in self.trees:
-            out = out + of(tree)
-        return out
+    def sql(self) -> str:
+        """The same in SQL."""
+        return self._written(lambda x: f"{x:.17e}", lambda name, cut, a, b: f"CASE WHEN {name} < {cut:.17e} THEN {a} ELSE {b} END", lambda a, b: f"{a}\n+ {b}")
 
     def odds_columns(self) -> dict[str, Column]:
         """Suffix statistics by lookup in a constant map of at most MAX_LABELLED keys."""
@@ -207,15 +238,15 @@ def featured(urls: DataFrame, url: str) -> DataFrame:
     """Add host, path, features and suffixes."""
     host, path = parts(F.col(url))
     urls = urls.withColumns({"host": host, "path": path})
-    return urls.withColumns(lexical(F.col(url), F.col("host"), F.col("path")) | suffixes(F.col("host")))
+    return urls.withColumns(lexical(F.col(url), F.col("host"), F.col("path")) | suffixes(F.col("host"), F.col("path")))
 
 
 def fit(spark: SparkSession, labelled: DataFrame | None = None) -> Trees:
     """labelled: url, label (1: block); at most MAX_LABELLED rows are read, by a hash of the url."""
     if labelled is None:
-        labelled = spark.createDataFrame(labelled_urls(), "url string, label int")
+        labelled = spark.createDataFrame(invented(), "url string, label int")
     chosen = labelled.select("url", F.col("label").cast("int")).where("label in (0, 1)").orderBy(F.xxhash64("url"), "url", "label").limit(MAX_LABELLED)
-    rows = [r.asDict() for r in featured(chosen, "url").collect()]
+    rows = [r.asDict() | {"url": r["url"] or ""} for r in featured(chosen, "url").collect()]
     return Trees(rows, [r["label"] for r in rows])
 
 
