@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strata.session import ship
 
@@ -47,7 +49,7 @@ def staged(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataF
 
 
 def map_arrow(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
     """mapInArrow with batches small enough for very long texts."""
     ship(df.sparkSession)
@@ -63,6 +65,42 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def whole_id(name: str = "doc_id") -> Column:
+    """An id as long; what isn't an integer counts as null."""
+    return F.col(name).try_cast("long")
+
+
+def row_key() -> Column:
+    """16 bytes that tell rows apart by id and text, so that rows with one id, or without, have each their verdict."""
+    both = F.concat(F.coalesce(whole_id().cast("string"), F.lit("-")), F.lit("\x1f"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.substring(F.unhex(F.sha2(both, 256)), 1, 16)
+
+
+def row_key_of(doc_id: int | None, text: bytes) -> bytes:
+    return hashlib.sha256(b"%b\x1f%b" % (b"-" if doc_id is None else b"%d" % doc_id, text)).digest()[:16]
+
+
+def leave(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs whose verdict (key binary, kept boolean; a row for each row of docs) is to stay, with their columns only.
+
+    Of rows with equal id and text one stays. Those are few or copies: they are combined by task before they move.
+    """
+    taken = {c.lower() for c in docs.columns}
+    key = next(k for k in ("_key" + "_" * n for n in range(len(taken) + 1)) if k not in taken)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    verdicts = staged(verdicts, "verdicts")
+    rows = docs.withColumn(key, row_key())
+    dropped = verdicts.where(~F.col("kept")).select(F.col("key").alias(key)).distinct()
+    rows = rows.join(dropped, key, "left_anti")
+    again = verdicts.where("kept").groupBy(F.col("key").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    if again.isEmpty():
+        return rows.select(*columns)
+    again = staged(again, "repeated")
+    order = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))))
+    one = rows.join(again, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("row"))
+    return rows.join(again, key, "left_anti").select(*columns).unionAll(one.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph given by its edges: node, component (the smallest node).
 

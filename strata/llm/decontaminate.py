@@ -10,10 +10,12 @@ passages around the seeds with the item; the local alignment's score, as a share
 copies, edited copies and paraphrases that keep enough words. Nothing else is left out: the result is that of full alignment.
 
 Test items are read in slices of at most SLICE characters, each sent to every executor; a larger benchmark takes more
-slices, never a larger broadcast. Documents aren't shuffled and each is read whole.
+slices, each of two passes over the corpus, never a larger broadcast; only an item that is longer than that by itself makes
+a slice of its own. Documents aren't shuffled and each is read whole.
 
 Defined cases: null or wordless texts match nothing, on either side; an item of one or two words is found as a
-whole only; equal items each match; repeated document rows each get their rows; a null doc_id or item_id is carried as null;
+whole only; equal items each match; repeated document rows each get their rows; a null doc_id or item_id (as one that isn't an integer) is carried as null;
+clean() judges each row by its own text in place;
 other columns are ignored; an empty table on either side gives no matches.
 """
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import map_arrow
+from strata.llm.common import map_arrow, whole_id
 
 GRAM, THRESHOLD, SLICE, CELLS = 2, 0.5, 8_000_000, 8_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -186,27 +188,28 @@ class Index:
 
 def slices(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int | None, str | None]]]:
     """The items in lists of about `limit` characters at most, by a hash of the text; null texts are left out."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size, longest = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
-    if longest > limit:
-        raise ValueError(f"a test item has {longest} characters; the limit of a slice is {limit}")
+    items = benchmark.select(whole_id("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    long, length = F.length("text") > limit, F.coalesce(F.sum(F.when(F.length("text") <= limit, F.length("text"))), F.lit(0))
+    size, n_long = items.agg(length, F.count(F.when(long, 1))).first()
     n = max(1, -(-2 * size // limit) if size > limit else 1)
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k)
-        if rows := [(r.item_id, r.text) for r in part.collect()]:
+    parts = [F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k for k in range(n)] if n > 1 else [F.lit(True)]
+    for part in parts:
+        if rows := [(r.item_id, r.text) for r in items.where(~long & part).collect()]:
             yield rows
+    if n_long:  # each of these alone is over the limit
+        for r in items.where(long).select(F.xxhash64("text", "item_id").alias("h")).distinct().collect():
+            yield [(x.item_id, x.text) for x in items.where(long & (F.xxhash64("text", "item_id") == r.h)).collect()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, limit: int = SLICE) -> DataFrame:
-    """A row for each document and test item that align: doc_id, item_id, score (0 to 1), first_word."""
+def indexes(docs: DataFrame, benchmark: DataFrame, threshold: float, limit: int) -> Iterator:
+    """Broadcast indexes of the slices, each with seeds chosen by counts over all of docs."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
+    texts = docs.select(F.col("text").cast("string").alias("text"))
     for items in slices(benchmark, limit):
         index = Index(items, threshold)
         if not index.size:
             continue
-        shared = spark.sparkContext.broadcast(index)  # of SLICE characters at most
+        shared = spark.sparkContext.broadcast(index)  # of SLICE characters, or one item
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
@@ -216,11 +219,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
 
-        counted = map_arrow(docs.select("text"), count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+        counted = map_arrow(texts, count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
         got, counts = counted.toArrow(), np.zeros(index.size, np.int64)  # as many rows as the slice has features, whatever the corpus
         counts[got["gram"].to_numpy()] = got["n"].to_numpy()
         index.seed(counts)
-        seeds = spark.sparkContext.broadcast(index)
+        shared.destroy()
+        yield spark.sparkContext.broadcast(index)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, limit: int = SLICE) -> DataFrame:
+    """A row for each document and test item that align: doc_id, item_id, score (0 to 1), first_word."""
+    rows, out = docs.select(whole_id().alias("doc_id"), F.col("text").cast("string").alias("text")), None
+    for seeds in indexes(docs, benchmark, threshold, limit):
 
         def align(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             own = seeds.value
@@ -230,12 +240,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                 columns = [pa.array([own.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "item_id", "score", "first_word"])
 
-        part = map_arrow(docs, align, "doc_id bigint, item_id bigint, score double, first_word bigint")
+        part = map_arrow(rows, align, "doc_id bigint, item_id bigint, score double, first_word bigint")
         out = part if out is None else out.unionAll(part)
-    return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, first_word bigint")
+    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, score double, first_word bigint")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, limit: int = SLICE) -> DataFrame:
+    """The rows of docs whose text aligns with no test item, with all their columns. Rows are judged in place."""
+    at, out = docs.columns.index("text"), docs
+    for seeds in indexes(docs, benchmark, threshold, limit):
 
+        def keep(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
+            own = seeds.value
+            for batch in batches:
+                stay = np.ones(batch.num_rows, bool)
+                stay[[f[0] for f in own.matches(batch.column(at).to_pylist(), threshold)]] = False
+                yield batch.filter(pa.array(stay))
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that align with no test item, with all their columns; rows without an id stay."""
-    leaked = matches(docs, benchmark, threshold).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").cast("long") == F.col("_leaked"), "left_anti")
+        out = map_arrow(out, keep, docs.schema)
+    return out

@@ -8,8 +8,9 @@ rest is done. Rows then meet their class by (length, SHA-256), a join that adapt
 group with a third of all rows isn't in one task.
 
 Defined cases: null text counts as empty, and empty texts are equal; of equal texts the row of most code points in the
-original, then smallest id, stays; null ids come last; rows that repeat an id with an equal text are one document and
-share its verdict; other columns are ignored; an empty table gives an empty result. A text of any length is one key.
+original, then smallest id, stays; null ids come last; of rows that agree in that too the one of the smallest hash of id
+and text stays, and rows that repeat id and text are one document and share its verdict (deduplicate() leaves one of
+them); ids that aren't integers count as null; other columns are ignored; an empty table gives an empty result. A text of any length is one key.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACES, map_arrow, texts_of
+from strata.llm.common import SPACES, leave, map_arrow, row_key_of, texts_of, whole_id
 
 #: Bytes of keys in a task's local trie before it is emptied, and in an owner's trie before a subtree is spilled.
 LOCAL_BYTES, OWNER_BYTES = 16 << 20, 64 << 20
@@ -139,25 +140,26 @@ class Trie:
 
 
 def best(old: tuple, new: tuple) -> tuple:
-    """Values: (-code points, id is null, id, rows, digest). The smaller stays; rows add up."""
-    return (*min(old[:3], new[:3]), old[3] + new[3], old[4])
+    """Values: (-code points, id is null, id, row key, rows, digest). The smaller stays; rows add up."""
+    return (*min(old[:4], new[:4]), old[4] + new[4], old[5])
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, bytes]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, bytes, bytes]]:
     for batch in batches:
         for doc_id, raw in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-            yield doc_id, len(raw.decode()), raw.translate(None, SPACES)
+            yield doc_id, len(raw.decode()), raw.translate(None, SPACES), row_key_of(doc_id, raw)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = list(_rows([batch]))
-        digests = [hashlib.sha256(key).digest() for _, _, key in rows]
-        lengths = pa.array([len(key) for _, _, key in rows], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array(digests, pa.binary())], ["doc_id", "n_bytes", "digest"])
+        digests = [hashlib.sha256(key).digest() for _, _, key, _ in rows]
+        lengths = pa.array([len(key) for _, _, key, _ in rows], pa.int64())
+        own = pa.array([r[3] for r in rows], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array(digests, pa.binary()), own], ["doc_id", "n_bytes", "digest", "row_key"])
 
 
-KEYED = ["n_bytes", "hash", "digest", "key", "points", "best_id", "n_rows"]
+KEYED = ["n_bytes", "hash", "digest", "key", "points", "best_id", "best_key", "n_rows"]
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,19 +174,20 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([len(k) for k, _ in part], pa.int64()),
-                    pa.array([int.from_bytes(v[4][:8], "little", signed=True) for _, v in part], pa.int64()),
-                    pa.array([v[4] for _, v in part], pa.binary()),
+                    pa.array([int.from_bytes(v[5][:8], "little", signed=True) for _, v in part], pa.int64()),
+                    pa.array([v[5] for _, v in part], pa.binary()),
                     pa.array([k for k, _ in part], pa.binary()),
                     pa.array([-v[0] for _, v in part], pa.int64()),
                     pa.array([v[2] if not v[1] else None for _, v in part], pa.int64()),
-                    pa.array([v[3] for _, v in part], pa.int64()),
+                    pa.array([v[3] for _, v in part], pa.binary()),
+                    pa.array([v[4] for _, v in part], pa.int64()),
                 ],
                 KEYED,
             )
 
     trie = Trie(best, 1 << 62)
-    for doc_id, points, key in _rows(batches):
-        trie.insert(key, (-points, doc_id is None, doc_id or 0, 1, hashlib.sha256(key).digest()))
+    for doc_id, points, key, row in _rows(batches):
+        trie.insert(key, (-points, doc_id is None, doc_id or 0, row, 1, hashlib.sha256(key).digest()))
         if trie.size() > LOCAL_BYTES:
             yield from emptied(trie)
             trie = Trie(best, 1 << 62)
@@ -195,39 +198,42 @@ def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes of one partition of (length, content hash)."""
     trie = Trie(best, OWNER_BYTES)
     for batch in batches:
-        for n_bytes, _, digest, key, points, doc_id, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            trie.insert(key, (-points, doc_id is None, doc_id or 0, rows, (n_bytes, digest)))
+        for n_bytes, _, digest, key, points, doc_id, row, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            trie.insert(key, (-points, doc_id is None, doc_id or 0, row, rows, (n_bytes, digest)))
     values = trie.values()
     while part := [v for _, v in zip(range(5000), values)]:
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([v[4][0] for v in part], pa.int64()),
-                pa.array([v[4][1] for v in part], pa.binary()),
+                pa.array([v[5][0] for v in part], pa.int64()),
+                pa.array([v[5][1] for v in part], pa.binary()),
                 pa.array([None if v[1] else v[2] for v in part], pa.int64()),
-                pa.array([v[3] for v in part], pa.int64()),
+                pa.array([v[3] for v in part], pa.binary()),
+                pa.array([v[4] for v in part], pa.int64()),
             ],
-            ["n_bytes", "digest", "keep_id", "group_size"],
+            ["n_bytes", "digest", "keep_id", "keep_key", "group_size"],
         )
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """n_bytes, digest, keep_id, group_size: a row for each distinct text."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    local = map_arrow(docs, _local, "n_bytes bigint, hash bigint, digest binary, key binary, points bigint, best_id bigint, n_rows bigint")
-    return map_arrow(local.repartition("n_bytes", "hash"), _owner, "n_bytes bigint, digest binary, keep_id bigint, group_size bigint")
+    """n_bytes, digest, keep_id, keep_key, group_size: a row for each distinct text."""
+    docs = docs.select(whole_id().alias("doc_id"), F.col("text").cast("string"))
+    local = map_arrow(docs, _local, "n_bytes bigint, hash bigint, digest binary, key binary, points bigint, best_id bigint, best_key binary, n_rows bigint")
+    return map_arrow(local.repartition("n_bytes", "hash"), _owner, "n_bytes bigint, digest binary, keep_id bigint, keep_key binary, group_size bigint")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
+def judged(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, digest, row_key, keep_id, group_size, kept."""
     members = map_arrow(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _members, "doc_id bigint, n_bytes bigint, digest binary"
-    )
-    return members.join(classes(docs), ["n_bytes", "digest"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+        docs.select(whole_id().alias("doc_id"), F.col("text").cast("string")), _members, "doc_id bigint, n_bytes bigint, digest binary, row_key binary"
     )
+    return members.join(classes(docs), ["n_bytes", "digest"]).withColumn("kept", F.col("row_key") == F.col("keep_key"))
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
+    return judged(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows without an id can't be told apart and stay."""
-    dropped = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    """One row of docs for each distinct text, with all its columns."""
+    return leave(docs, judged(docs).select(F.col("row_key").alias("key"), "kept"))

@@ -96,14 +96,14 @@ ORACLES: dict[str, str] = {
     "op9_url_filter": _url_sql(),
     "op2_exact_dedup": r"""
         WITH d AS (
-            SELECT doc_id, length(coalesce(text, '')) AS points,
+            SELECT doc_id, length(coalesce(text, '')) AS points, sha256(coalesce(CAST(doc_id AS VARCHAR), '-') || chr(31) || coalesce(text, '')) AS own,
                    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
             FROM documents),
         g AS (
-            SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST) AS keep_id,
+            SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(own) OVER w AS best,
                    count(*) OVER (PARTITION BY text_sha256) AS group_size
-            FROM d)
-        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g""",
+            FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id NULLS LAST, own))
+        SELECT doc_id, keep_id, group_size, own = best AS kept, text_sha256 FROM g""",
     "op6_substring_dedup": r"""
         WITH d AS (
             SELECT row_number() OVER () AS r, doc_id,

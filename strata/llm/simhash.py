@@ -7,8 +7,9 @@ verifies Hamming distances and passes on a spanning forest, never all pairs; lin
 components.
 
 Defined cases: null text counts as empty; no words give fingerprint zero, which links like any other; fewer than three
-words make one shingle; a null id is a row of its own that takes part like others and is the smallest id only of a
-component without ids; repeated rows each get their row; other columns are ignored; an empty table gives an empty
+words make one shingle; a null id (as one that isn't an integer) is a row of its own that takes part like others and is
+the smallest id only of a component without ids; repeated rows each get their row, and deduplicate() leaves one row of a
+component: of the smallest id, then of the smallest hash of id and text; other columns are ignored; an empty table gives an empty
 result. Words, shingles and documents of any length are whole.
 """
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import components, cut, map_arrow, staged, texts_of
+from strata.llm.common import components, cut, leave, map_arrow, row_key_of, staged, texts_of, whole_id
 
 WORDS, SEED, DISTANCE = 3, 42, 3
 #: Six blocks of bits; a key is what is left of a fingerprint under a mask of three.
@@ -56,14 +57,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, fp (the fingerprint as signed long). No shuffle."""
+    """Per row: doc_id, fp (the fingerprint as signed long), key (of the row). No shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            texts = texts_of(batch)
+            found = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            keys = [row_key_of(i, t) for i, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "fp", "key"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, "doc_id bigint, fp bigint")
+    return map_arrow(docs.select(whole_id().alias("doc_id"), F.col("text").cast("string")), work, "doc_id bigint, fp bigint, key binary")
 
 
 class Forest:
@@ -166,19 +169,23 @@ def links(distinct: DataFrame) -> DataFrame:
     return map_arrow(keyed, _verify, "a bigint, b bigint")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, fingerprint, component_id."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, fp, key, and the row that its component leaves: first (no_id, doc_id, key)."""
     prints = staged(fingerprints(docs), "fingerprints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    distinct = cut(prints.groupBy("fp").agg(F.min(row).alias("first")))
     found = components(links(distinct.select("fp")))
     named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = cut(named)
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of = named.join(least, "component").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = named.groupBy("component").agg(F.min("first").alias("first"))
+    return prints.join(named.select("fp", "component").join(least, "component").select("fp", "first"), "fp")
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, fingerprint, component_id."""
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their component's smallest, with all their columns; rows without an id stay."""
-    dropped = near_dedup(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    """One row of docs for each component, with all its columns."""
+    return leave(docs, grouped(docs).select("key", (F.col("key") == F.col("first.key")).alias("kept")))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import map_arrow
+from strata.llm.common import map_arrow, whole_id
 
 ORDER, DECAY, LANDMARKS, LONGEST = 5, 0.7, 64, 12
 #: Stands before each word and landmark, so a beginning counts as a character.
@@ -467,7 +467,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             scores = own.scores([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), work, "doc_id bigint, score double")
+    scored = map_arrow(docs.select(whole_id().alias("doc_id"), F.col("text").cast("string")), work, "doc_id bigint, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -482,4 +482,4 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             scores = own.scores([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(scores < threshold))
 
-    return map_arrow(docs, work, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    return map_arrow(docs, work, docs.schema)

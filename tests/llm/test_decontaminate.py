@@ -52,13 +52,25 @@ def test_against_full_alignment(spark):
         got = [(str(r.doc_id), r.item_id, round(r.score, 9)) for r in dec.matches(frame, bench, limit=limit).collect()]
         assert sorted(got) == sorted(want)
     assert len(want) > 40
-    clean = dec.clean(frame, bench)
-    assert clean.columns == frame.columns
-    leaked = {d for d, *_ in want if d != "None"}
-    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in docs if str(i) not in leaked)
+    for limit in (dec.SLICE, 600, 100):  # 100: items longer than a slice
+        clean = dec.clean(frame, bench, limit=limit)
+        assert clean.columns == frame.columns
+        leaked = {d for d, *_ in want}
+        assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in docs if str(i) not in leaked)
+    assert sorted((str(r.doc_id), r.item_id, round(r.score, 9)) for r in dec.matches(frame, bench, limit=100).collect()) == sorted(want)
     assert dec.matches(frame, bench.limit(0)).count() == 0 and dec.matches(frame.limit(0), bench).count() == 0
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    item = " ".join("leak%d" % i for i in range(20))
+    rows = [(1, item, "a", 1), (1, "clean words here", "b", 2), (None, item, "c", 3), (None, "other words", "d", 4), (2, item + " x", None, 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _leaked string, item_id long")
+    left = dec.clean(frame, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert left.columns == frame.columns and sorted(r["_leaked"] for r in left.collect()) == ["b", "d"]
+    named = frame.withColumn("doc_id", dec.F.lit("no number"))
+    assert dec.clean(named, spark.createDataFrame([(9, item)], "item_id long, text string")).count() == 2
+
+
 def test_dense_edits_against_full_alignment(spark):
     """15 to 50 % of the words replaced, dropped or pushed apart, evenly or not, in one copy and in many."""
     pick = random.Random(21)

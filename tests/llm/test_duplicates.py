@@ -6,9 +6,10 @@ from hashlib import sha256
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from strata.llm import exact_dedup, simhash
-from strata.llm.common import components
+from strata.llm.common import components, row_key_of
 
 SCHEMA = "doc_id long, text string, component long, fp string"
 
@@ -35,21 +36,35 @@ def test_trie_with_and_without_spill():
 
 
 def test_exact_dedup(spark):
-    rows = [(5, "a b\tc"), (2, "abc"), (9, "abc "), (3, "ab c "), (4, None), (1, " \n"), (7, ""), (8, "é" * 5000), (6, "é" * 5000), (10, "\xa0"), (None, "abc"), (11, "x"), (11, "x"), (None, "solo")]
+    rows = [(5, "a b\tc"), (2, "abc"), (9, "abc "), (3, "ab c "), (4, None), (1, " \n"), (7, ""), (8, "é" * 5000), (6, "é" * 5000), (10, "\xa0"), (None, "abc"), (11, "x"), (11, "x"), (None, "solo"), (None, "solo"), (11, "own"), (5, "a bc"), (12, "p q"), (12, "p\tq")]
     want = []
     key = lambda t: (t or "").translate({c: None for c in (32, *range(9, 14))})
     for i, t in rows:
-        group = [(-len(u or ""), j is None, j) for j, u in rows if key(u) == key(t)]
-        keep = min(group, key=lambda g: (g[0], g[1], g[2] or 0))[2]
-        want.append((i, keep, len(group), i == keep, sha256(key(t).encode()).hexdigest()))
+        group = [(-len(u or ""), j is None, j or 0, row_key_of(j, (u or "").encode()), j) for j, u in rows if key(u) == key(t)]
+        *_, best, keep = min(group)
+        want.append((i, keep, len(group), best == row_key_of(i, (t or "").encode()), sha256(key(t).encode()).hexdigest()))
     got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     stay = exact_dedup.deduplicate(frame(spark, rows))
     assert stay.columns == ["doc_id", "text", "component", "fp"]
-    assert sorted(map(str, (r.doc_id for r in stay.collect()))) == sorted(str(i) for i, keep, _, k, _ in want if k or i is None)
+    assert sorted(map(str, (r.doc_id for r in stay.collect()))) == sorted({str((i, text)): str(i) for i, _, _, k, text in want if k}.values())
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_own_verdict(spark):
+    """Ids that repeat or lack, columns named like inner ones, rows equal in all columns, a group of copies without id."""
+    rows = [(1, "one text", "a", [1]), (1, "two text", "b", [2]), (2, "one text", "c", None), (None, "one  text", "d", None), (None, "three", "e", [3]), (None, "three", "e", [3]), (3, "four", "f", []), (3, "four", "g", [])]
+    rows += [(None, "hot copy", "h", [k]) for k in range(300)] + [(None, None, None, None), (4, "", "i", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _key string, _dropped array<long>").withColumn("kept", F.create_map(F.lit("a"), F.col("doc_id"))).repartition(5)
+    for deduplicate in (exact_dedup.deduplicate, simhash.deduplicate):
+        left = deduplicate(frame)
+        assert left.columns == frame.columns
+        got = sorted(str((r.doc_id, r.text)) for r in left.collect())
+        assert got == sorted(map(str, [(None, "one  text") if deduplicate is exact_dedup.deduplicate else (1, "one text"), (1, "two text"), (None, "three"), (3, "four"), (None, "hot copy"), (4, "")]))
+    texts = frame.withColumn("doc_id", F.concat(F.lit("id-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("x"))))
+    assert exact_dedup.deduplicate(texts).count() == 6 and exact_dedup.deduplicate(texts).dtypes == texts.dtypes
+
+
 def brute_fingerprint(text):
     words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]
     if not words:
