@@ -2,11 +2,16 @@
 
 Each matrix row is one pre-token. A round finds every row's leftmost pair of least rank (argmin returns the first),
 merges it, looks the two new neighbour pairs up in a hashed table and compacts the row; rows without a mergeable pair
-leave the matrix. Distinct pre-tokens are encoded once per task and kept in a bounded memo.
+leave the matrix. Distinct pre-tokens are encoded once per task and kept in a memo of bounded bytes.
+
+A pre-token of more than LONG bytes (text without spaces) is first cut where no token of the vocabulary can reach across:
+at a place whose two bytes on either side stand so in no token. Merges never cross such a place, so the parts are rows of
+the matrices like others and unspaced text costs as much a byte as other text. Only a part that is still longer, as a run
+of one character may be, is merged alone, with the least rank of each block of its positions kept.
 
 Defined cases: null text counts as empty and gives no ids; ids of one document depend on its text only, so ties and
-repeated rows give equal results; other columns are ignored; an empty table gives an empty result. A pre-token of any
-length is encoded; beyond LONG bytes its row keeps minima by block, so a round costs the square root of its length.
+repeated rows give equal results; other columns are ignored; an empty table gives an empty result. Pre-tokens of any
+length are encoded whole.
 """
 
 from __future__ import annotations
@@ -26,13 +31,31 @@ from pyspark.sql import functions as F
 from strata.llm.common import map_arrow
 
 NONE = np.int32(2**31 - 1)
-#: Pre-tokens of more bytes than this are merged one at a time, with minima by block.
+#: The longest row of a matrix.
 LONG = 256
+#: Fixed value: the pattern whose matches never span a single space but from that space on.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space between two characters of which neither is white space (re counts at least what regex counts).
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
 LAST = itemgetter(-1)
-#: Entries of the memo of distinct pre-tokens in one Python worker.
-MEMO = 400_000
+#: Bytes of the memo of one Python worker, and the longest string that it takes.
+MEMO, REMEMBERED = 96 << 20, 256
+
+
+class Memo(dict):
+    """Ids by string. Over MEMO bytes it is emptied, at the next call of encode()."""
+
+    held = 0
+
+    def remember(self, found: dict[str, bytes]) -> None:
+        some = {k: v for k, v in found.items() if len(k) <= REMEMBERED}
+        self.held += 250 * len(some) + sum(map(len, some)) * 2 + sum(map(len, some.values()))
+        self.update(some)
+
+    def trim(self) -> None:
+        if self.held > MEMO:
+            self.clear()
+            self.held = 0
 
 
 class Vocabulary:
@@ -106,6 +129,29 @@ class Vocabulary:
             open_, at = open_[on], (at[on] + 1) & ((1 << bits) - 1)
         return out.reshape(left.shape)
 
+    @cached_property
+    def _crossings(self) -> list[np.ndarray]:
+        """What stands around the places inside tokens, two bytes on either side or one where the token has no more: sorted numbers."""
+        found: list[set[int]] = [set(), set(), set(), set()]
+        for token in self.ranks:
+            for i in range(1, len(token)):
+                left, right = token[max(0, i - 2) : i], token[i : i + 2]
+                found[2 * (len(left) - 1) + len(right) - 1].add(int.from_bytes(left + right, "big"))
+        return [np.array(sorted(x), np.int64) for x in found]
+
+    def parts(self, raw: bytes) -> list[bytes]:
+        """Cut where no token reaches across."""
+        b = np.frombuffer(raw, np.uint8).astype(np.int64)
+        left, right = b[:-1], b[1:]
+        left2 = np.append(-1 << 40, left[:-1] << 8 | left[1:])
+        right2 = np.append(right[:-1] << 8 | right[1:], -1 << 40)
+        crossed = np.zeros(len(left), bool)
+        for known, keys in zip(self._crossings, (left << 8 | right, left << 16 | right2, left2 << 8 | right, left2 << 16 | right2), strict=True):
+            if len(known):
+                crossed |= known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+        cuts = [0, *(np.flatnonzero(~crossed) + 1).tolist(), len(raw)]
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
     @cached_property
     def byte_pairs(self) -> np.ndarray:
         """Rank of every pair of single bytes."""
@@ -157,7 +203,7 @@ class Vocabulary:
         return out
 
     def encode_long(self, piece: bytes) -> np.ndarray:
-        """One long row: the same rounds, over linked positions with the least rank of every block of positions."""
+        """One row that nothing cuts: the same rounds, over linked positions with the least rank of every block of positions."""
         n = len(piece)
         block = max(16, int(n**0.5))
         ids = self.bytes_to_ids[np.frombuffer(piece, np.uint8)]
@@ -196,22 +242,29 @@ class Vocabulary:
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Distinct pre-tokens and their ids as little-endian unsigned 32-bit integers."""
-        out, buckets = {}, {}
+        out: dict[str, bytes] = {}
+        rows: dict[bytes, bytes] = {}
+        cut: dict[str, list[bytes]] = {}
         for piece in pieces:
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
                 out[piece] = whole.to_bytes(4, "little")
-            elif len(raw) > LONG:
-                out[piece] = self.encode_long(raw).astype("<u4").tobytes()
             else:
-                n = len(raw)
-                buckets.setdefault(n if n <= 24 else -(-n // 8) * 8 if n <= 64 else -(-n // 64) * 64, []).append((piece, raw))
+                cut[piece] = self.parts(raw) if len(raw) > LONG else [raw]
+        buckets: dict[int, list[bytes]] = {}
+        for raw in set().union(*cut.values()):
+            n = len(raw)
+            if n > LONG:
+                rows[raw] = self.encode_long(raw).astype("<u4").tobytes()
+            else:
+                buckets.setdefault(n if n <= 24 else -(-n // 8) * 8 if n <= 64 else -(-n // 64) * 64, []).append(raw)
         for width, group in buckets.items():
             step = max(1, (1 << 16) // width)
             for i in range(0, len(group), step):
                 part = group[i : i + step]
-                out.update(zip([p for p, _ in part], self.encode_matrix([raw for _, raw in part]), strict=True))
+                rows.update(zip(part, self.encode_matrix(part), strict=True))
+        out.update((piece, b"".join(map(rows.__getitem__, raws))) for piece, raws in cut.items())
         return out
 
     def encode_runs(self, runs: list[str], lead: str) -> list[bytes]:
@@ -228,22 +281,27 @@ class Vocabulary:
         ids = self.encode_pieces(pieces).__getitem__
         return [b"".join(map(ids, a)) if b is None else ids(a) + b for a, b in split]
 
-    def encode(self, texts: list[str], memo: dict[str, bytes]) -> list[bytes]:
-        """memo: ids of runs with a space before each.
+    def encode(self, texts: list[str], memo: Memo) -> list[bytes]:
+        """memo: ids of runs with a space before each, or of pre-tokens where the pattern isn't SPACED.
 
-        No match of the pattern spans a single space between two other characters but from that space on, so the ids
-        of a text are those of its parts, each later part with its space. Other white space stays within parts.
+        No match of SPACED spans a single space between two other characters but from that space on, so the ids of a
+        text are those of its parts, each later part with its space. Other white space stays within parts.
         """
+        memo.trim()
+        if self.pattern != SPACED:
+            split = [self.split(t) for t in texts]
+            fresh = self.encode_pieces(set().union(*split).difference(memo))
+            ids = fresh | {p: memo[p] for p in set().union(*split).difference(fresh)}
+            memo.remember(fresh)
+            return [b"".join(map(ids.__getitem__, p)) for p in split]
         parts = [t.split(" ") for t in texts]
         for k, p in enumerate(parts):
             if "" in p or any(map(str.isspace, set(map(LAST, p)))):
                 parts[k] = SINGLE.split(texts[k]) if texts[k] else []
-        if len(memo) > MEMO:
-            memo.clear()
         found = [list(map(memo.get, p)) for p in parts]
         new = list({x for p, f in zip(parts, found, strict=True) if None in f for x, y in zip(p, f, strict=True) if y is None})
         fresh = dict(zip(new, self.encode_runs(new, " "), strict=True))
-        memo.update(fresh)
+        memo.remember(fresh)
         firsts = iter(self.encode_runs([p[0] for p in parts if p], ""))
         out = []
         for p, f in zip(parts, found, strict=True):
@@ -264,7 +322,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", tex
     shared = spark.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file, whatever the input
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memo = shared.value, {}
+        own, memo = shared.value, Memo()
         for batch in batches:
             ids = own.encode([t or "" for t in batch.column(1).to_pylist()], memo)
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
