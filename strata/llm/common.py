@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,12 +33,14 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    context._strata_staged = [*getattr(context, "_strata_staged", ()), path]
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder; lost executors recompute nothing before this point."""
-    shared_dir(df.sparkSession, "cut")
+    shared_dir(df.sparkSession, "cut")  # sets the folder
     return df.checkpoint()
 
 
@@ -48,6 +51,33 @@ def staged(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete what this application's operators have staged in the shared folder. Results that still read it must be written before."""
+    context = spark.sparkContext
+    for path in getattr(context, "_strata_staged", ()):
+        delete(spark, path)
+    context._strata_staged = []
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as __) for what runs inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def map_arrow(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:

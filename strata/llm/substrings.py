@@ -6,8 +6,9 @@ al. 2003). Equal windows have equal anchors at equal offsets, and neighbouring w
 each anchor's stretch of windows stands for all of them, at about a tenth of the windows.
 
 The index is a set of immutable runs: bucketed tables sorted by anchor hash, with a count and one place for each
-distinct (anchor, stretch). A new batch becomes a run; it is merge-joined with the historical run, which needs no
-shuffle as both have the same buckets, and the join's outcome is the compacted run of the next level.
+distinct (anchor, stretch), in the shared folder. A new batch becomes a run; it is merge-joined with the historical run,
+which needs no shuffle as both have the same buckets, and the join's outcome is the compacted run of the next level. An
+anchor's stretches are dealt over PARTS buckets, so one frequent phrase in many contexts isn't in one task.
 
 Verification is by digest of the very words: stretches whose words occur twice are duplicate windows throughout (64 bits
 of anchor hash and 64 bits of XXH3 of all the words agree). Where stretches share an anchor but differ, their windows are compared
@@ -15,7 +16,7 @@ one by one by 96 bits of XXH3. Counts combine before each shuffle; places meet d
 execution may split, so a passage in a third of all documents isn't in one task.
 
 Defined cases: null text has no words; texts under WINDOW words lose none; windows of repeated rows are each other's
-copies; a null id is a document like others; a text that repeats itself is judged like any other; other columns are
+copies; a null id (as one that isn't an integer) is a document like others; a text that repeats itself is judged like any other; other columns are
 ignored; an empty table gives an empty result. Texts of any length are one sequence.
 """
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import map_arrow, staged, texts_of
+from strata.llm.common import delete, map_arrow, settings, shared_dir, staged, texts_of, whole_id
 
 WINDOW, GRAM = 35, 12
 SPAN = WINDOW - GRAM + 1
@@ -38,6 +39,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Rows that a task combines before it passes them on.
 COMBINE = 300_000
 KEY = ["anchor", "digest"]
+#: Buckets over which the stretches of one anchor are dealt.
+PARTS = 32
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -90,9 +93,9 @@ class Words:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """id and salt tell documents apart: rows that agree in both are copies of one row."""
+    """id and salt tell documents apart, by 96 bits of hash of id and text: rows that agree in both are copies of one row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash(text).alias("salt"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return docs.select(F.xxhash64(whole_id(), text).alias("id"), F.hash(text).alias("salt"), whole_id().alias("doc_id"), text.alias("text"))
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,13 +153,15 @@ class Index:
     """Immutable sorted runs. add() takes a batch in and compacts; close() drops the tables."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.run, self.tables = spark, None, []
+        self.spark, self.run, self.tables = spark, None, {}
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, run: DataFrame) -> str:
         name = f"window_run_{uuid.uuid4().hex}"
-        self.tables.append(name)
-        run.write.bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
+        self.tables[name] = shared_dir(self.spark, name)
+        # Shuffle files of a run are of no use once it is written.
+        with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+            run.write.bucketBy(self.buckets, "anchor", "part").sortBy("anchor").option("path", self.tables[name]).saveAsTable(name)
         return name
 
     def add(self, docs: DataFrame) -> None:
@@ -166,20 +171,20 @@ class Index:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return _combined(_stretches(batches))
 
-        rows = map_arrow(docs.select("id", "salt", "text"), work, columns).repartition(self.buckets, "anchor")
+        rows = map_arrow(docs.select("id", "salt", "text"), work, columns).withColumn("part", F.pmod("digest", F.lit(PARTS)).cast("byte")).repartition(self.buckets, "anchor", "part")
         place = F.min(F.struct("id", "salt", "first", "n_windows")).alias("place")
-        new = rows.groupBy(*KEY).agg(F.sum("n").alias("n"), place).select(*KEY, "n", "place.*")
+        new = rows.groupBy("anchor", "part", "digest").agg(F.sum("n").alias("n"), place).select(*KEY, "part", "n", "place.*")
         name = self._write(new)
         if self.run is None:
             self.run = name
             return
-        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         old, new = self.spark.table(self.run).alias("o"), self.spark.table(name).alias("n")
-        both = old.join(new, KEY, "full")
+        both = old.join(new, [*KEY, "part"], "full")
         either = [F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in ("id", "salt", "first", "n_windows")]
-        merged = both.select(*KEY, (F.coalesce("o.n", F.lit(0)) + F.coalesce("n.n", F.lit(0))).alias("n"), *either)
+        merged = both.select(*KEY, "part", (F.coalesce("o.n", F.lit(0)) + F.coalesce("n.n", F.lit(0))).alias("n"), *either)
         former = [self.run, name]
-        self.run = self._write(merged)
+        with settings(self.spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
+            self.run = self._write(merged)
         for gone in former:
             self._drop(gone)
 
@@ -188,7 +193,7 @@ class Index:
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.tables.remove(name)
+        delete(self.spark, self.tables.pop(name))
 
     def close(self) -> None:
         for name in list(self.tables):
@@ -253,7 +258,8 @@ def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
         runs = index.read()
         twice = staged(runs.where("n > 1").select(*KEY), "stretches")
         mixed_ = runs.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor")
-        places = runs.join(mixed_, "anchor").select("id", "salt", F.struct("first", "n_windows", (F.col("n") == 1).alias("once")).alias("place"))
+        every = mixed_.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<tinyint>")).alias("part"))
+        places = runs.join(every, ["anchor", "part"]).select("id", "salt", F.struct("first", "n_windows", (F.col("n") == 1).alias("once")).alias("place"))
         places = staged(places, "places")
     finally:
         index.close()

@@ -1,8 +1,9 @@
 """WARC archives with an externally merged capture index.
 
 Records are built by DataFrame functions and written by Spark's text writer with the record separator as line
-separator, so each part file is a WARC file, in any store that Spark writes to. Reading takes whole files of at most
-RECORDS_PER_FILE records. Each file gives a locally sorted run of index rows; the key range is then cut into parts, and
+separator, so each part file is a WARC file, in any store that Spark writes to. Pages are written by classes of size, each
+with as many records in a file as FILE_BYTES hold, so that reading, which takes whole files, is bounded by bytes: only a
+record of more bytes than that is alone in a larger file. Each file gives a locally sorted run of index rows; the key range is then cut into parts, and
 in each part a loser tree merges the k runs by URL key and timestamp, so that the parts in order are the global capture
 history. A part holds about ROWS_PER_PART short index rows, however large the archive.
 
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import map_arrow, shared_dir, staged
+from strata.llm.common import map_arrow, shared_dir, staged, whole_id
 
-RECORDS_PER_FILE, ROWS_PER_PART = 2000, 200_000
+ROWS_PER_PART = 200_000
+#: Bytes of payloads in a file at most, and the bounds of the classes of payloads that share files.
+FILE_BYTES, CLASSES = 32 << 20, (16 << 10, 256 << 10, 4 << 20)
 #: So many rows of three short values, about 20 MB, are sent to every executor at most.
 REVISITS_BROADCAST = 200_000
 CAPTURE_START = "2024-01-01 00:00:00"
@@ -50,12 +53,12 @@ def record_id(digest: Column, page_id: Column) -> Column:
 
 
 def records(pages: DataFrame, min_bytes: int = 0, captured: str | None = None) -> DataFrame:
-    """A column `value`: a WARC record for each row, without its last two line ends."""
-    page_id, html = F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
+    """A column `value`: a WARC record for each row, without its last two line ends; and `n_bytes` of its payload."""
+    page_id, html = whole_id("page_id").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     for code in (*range(33), 127):
         url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}")) if code != 32 else F.replace(url, F.lit(" "), F.lit("%20"))
-    start = F.timestamp_add("SECOND", F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(CAPTURE_START).cast("timestamp_ntz"))
+    start = F.timestamp_add("SECOND", F.coalesce(whole_id("page_id"), F.lit(0)), F.lit(CAPTURE_START).cast("timestamp_ntz"))
     when = F.date_format(F.col(captured) if captured else start, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = pages.select(page_id, url.alias("url"), html, when.alias("when"))
     digest, size = F.sha1("html"), F.octet_length("html")
@@ -83,11 +86,22 @@ def records(pages: DataFrame, min_bytes: int = 0, captured: str | None = None) -
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
     )
     body = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
-    return rows.select(F.concat(head, line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body).alias("value"))
-
-
-def write(pages: DataFrame, path: str, min_bytes: int = 0, captured: str | None = None, records_per_file: int = RECORDS_PER_FILE) -> None:
-    records(pages, min_bytes, captured).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    return rows.select(F.concat(head, line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body).alias("value"), F.col("n_bytes").cast("long").alias("n_bytes"))
+
+
+def write(pages: DataFrame, path: str, min_bytes: int = 0, captured: str | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """Archives of at most file_bytes of payloads each, but for single records that have more."""
+    rows = records(pages, min_bytes, captured)
+    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
+    bounds = [b for b in CLASSES if b < file_bytes]
+    classes = [*zip([-1, *bounds], [*bounds, 1 << 62], strict=True)]
+    found = pages.agg(*(F.count(F.when((size > low) & (size <= high), 1)) for low, high in classes)).first()
+    mode = "error"
+    for n, (low, high) in zip(found, classes, strict=True):
+        if n or (mode == "error" and high == 1 << 62):
+            part = rows.where((F.col("n_bytes") > low) & (F.col("n_bytes") <= high)).select("value")
+            part.write.mode(mode).option("lineSep", END).option("maxRecordsPerFile", max(1, file_bytes // high)).text(path)
+            mode = "append"
 
 
 def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:

@@ -5,6 +5,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import xxhash
 
 from strata.llm import substrings as sub
 
@@ -52,3 +53,24 @@ def test_against_brute_force(spark):
         assert sorted((str(r[0]), *r[1:]) for r in got) == want
     assert sum(n > 0 for _, _, n, _ in want) > 40
     assert sub.digests(frame.limit(0)).count() == 0
+
+
+def test_one_phrase_in_many_contexts_and_rows_without_id(spark):
+    """A frequent anchor with a context of its own in each document; its rows lie in many buckets, and settings stay."""
+    pick = random.Random(5)
+    least = lambda words: int(sub.gram_hashes(np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64)).min())
+    phrase = next(p for k in range(10**5) if least(p := [f"hot{k}-{i}" for i in range(14)]) < 1 << 55)  # an anchor wherever it stands
+    rows = [(None if i % 3 else 7, " ".join([f"a{pick.randrange(10**9)}" for _ in range(30)] + phrase + [f"b{pick.randrange(10**9)}" for _ in range(30)])) for i in range(400)]
+    rows += [(None, rows[5][1]), (8, rows[6][1] + " tail"), (None, "short text")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")}
+    got = sub.digests(frame).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == brute(rows)
+    assert {k: spark.conf.get(k, None) for k in before} == before
+    index = sub.Index(spark)
+    index.add(sub.keyed(frame))
+    parts = index.read().groupBy("anchor").agg(sub.F.countDistinct("part").alias("n"), sub.F.count("*").alias("rows")).orderBy(sub.F.desc("rows")).first()
+    assert parts.rows > 300 and parts.n == sub.PARTS
+    index.close()
+    named = frame.withColumn("doc_id", sub.F.lit("name"))
+    assert sum(r.n_removed > 0 for r in sub.digests(named).collect()) == sum(n > 0 for _, _, n, _ in brute(rows))

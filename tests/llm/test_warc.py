@@ -41,9 +41,21 @@ def test_round_trip(spark, tmp_path, monkeypatch, most):
         keys = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in got.collect()]
         assert keys == sorted(keys)
     path = f"file://{tmp_path}/archive"
-    warc.write(frame, path, records_per_file=10)
+    warc.write(frame, path, file_bytes=160 << 10)
     files = [p for p in (tmp_path / "archive").iterdir() if p.name.startswith("part-")]
-    assert len(files) >= 7
+    assert len(files) >= 7 and max(p.stat().st_size for p in files) < 350_000
     found = [r for p in files for r in warc.parse(p.read_bytes())]
     assert len(found) == len(rows) and all(f["warc-record-id"].startswith("<urn:uuid:") for _, _, f, _ in found)
     assert warc.archive(frame.limit(0)).count() == 0
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Pages of 1 MB among small ones; a page larger than a file is alone in it."""
+    rows = [(i, f"http://h{i}.com/", chr(97 + i % 26) * (1 << 20)) for i in range(60)] + [(100 + i, f"http://s{i}.com/", f"small {i}") for i in range(500)] + [(900, "http://big.com", "z" * (9 << 20))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = f"file://{tmp_path}/archive"
+    warc.write(frame, path, file_bytes=8 << 20)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "archive").iterdir() if p.name.startswith("part-"))
+    assert 9 << 20 < sizes[-1] < (9 << 20) + 2000 and sizes[-2] < (8 << 20) + 10_000
+    got = warc.read_index(spark, path).collect()
+    assert len(got) == 561 and sorted(r.page_id for r in got) == sorted(r[0] for r in rows) and sum(r.record_type == "revisit" for r in got) == 34
