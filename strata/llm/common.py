@@ -45,9 +45,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def staged(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back."""
+    """Write df as Parquet into the shared folder and read it back. Its shuffle files go as soon as it is written."""
     path = shared_dir(df.sparkSession, label)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -269,6 +269,7 @@ def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
     windows = map_arrow(some, _windows, "a bigint, b int, id bigint, salt int, first int, once boolean")
     equal = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     single = windows.where("once").join(equal, ["a", "b"]).select("id", "salt", "first", F.lit(1).alias("n_windows"))
+    single = staged(single, "windows")
     whole = stretches(docs).join(twice, KEY).select("id", "salt", "first", "n_windows")
     gone = whole.unionAll(single).distinct().groupBy("id", "salt").agg(F.collect_list(F.struct("first", "n_windows")).alias("places"))
     judged = texts.join(gone, ["id", "salt"], "left").select("doc_id", "text", "places")
