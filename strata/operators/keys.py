@@ -45,4 +45,4 @@ def assign(new: DataFrame, existing: DataFrame | None, natural: Iterable[str], k
         number = F.col("_number") + F.col("_largest")
     else:
         number = F.col("_number")
-    return out.select(number.cast("int").alias(key), *new.columns)
+    return out.select(number.cast("long").alias(key), *new.columns)

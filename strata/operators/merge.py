@@ -23,6 +23,11 @@ def only_known(source: DataFrame, target: DataFrame, keys: Iterable[str]) -> Dat
     return source.join(target.select(*keys).distinct(), keys, "left_semi").select(*source.columns)
 
 
+def newer_than(df: DataFrame, column: str, mark: object | None) -> DataFrame:
+    """Rows beyond the high-water mark, all rows where there is none yet. NULL is never beyond a mark."""
+    return df if mark is None else df.where(F.col(column) > F.lit(mark).cast(df.schema[column].dataType))
+
+
 def insert_only(target: DataFrame, source: DataFrame, keys: Iterable[str]) -> DataFrame:
     return target.unionByName(only_new(source, target, keys), allowMissingColumns=True)
 

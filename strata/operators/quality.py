@@ -68,7 +68,7 @@ def gate(report: DataFrame) -> list[dict]:
 
 
 def profile(df: DataFrame, name: str) -> DataFrame:
-    """One row for each column: non-NULL values and distinct ones (approximate), with the table's size."""
+    """One row for each column: non-NULL values, with the table's size."""
     stats = df.agg(F.count("*").alias("n"), *(F.count(c).alias(f"v{i}") for i, c in enumerate(df.columns)))
     pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"v{i}").alias("filled")) for i, c in enumerate(df.columns)))
     return stats.select(F.lit(name).alias("table_name"), F.col("n").alias("row_count"), F.lit(len(df.columns)).alias("column_count"), F.explode(pairs).alias("c")).select("table_name", "row_count", "column_count", "c.*")

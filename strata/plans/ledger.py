@@ -1,6 +1,6 @@
 """What has been done: batches by layer, the processed list, the file watermark and schema changes.
 
-One JSON document, replaced as a whole, on the driver's side of the store's file system. A document that can't be read
+One JSON document, replaced as a whole, beside the tables, so that any driver finds it. A document that can't be read
 is an error; it is never taken for an empty one.
 """
 
@@ -8,31 +8,36 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 from datetime import UTC, datetime
 from pathlib import Path
 
+from strata.plans.files import SharedFiles, _written
+
 LAYERS = ("bronze", "silver", "gold")
 PENDING, SUCCESS, FAILED = "PENDING", "SUCCESS", "FAILED"
 
 
 class Ledger:
-    def __init__(self, path: str | Path):
-        self.path = Path(path)
+    """files: the file system that the document is on; without it the path is a local one."""
+
+    def __init__(self, path: str | Path, files: SharedFiles | None = None):
+        self.path, self.files = str(path), files
 
     def _load(self) -> dict:
-        if not self.path.exists():
-            return {"batches": {}, "processed": [], "watermark": None, "schema_changes": []}
-        return json.loads(self.path.read_text())
+        if self.files is None:
+            text = Path(self.path).read_text() if Path(self.path).exists() else None
+        else:
+            text = self.files.read_text(self.path) if self.files.exists(self.path) else None
+        return {"batches": {}, "processed": [], "watermark": None, "schema_changes": []} if text is None else json.loads(text)
 
     def _save(self, state: dict) -> None:
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        handle, temporary = tempfile.mkstemp(dir=self.path.parent)
-        with os.fdopen(handle, "w") as out:
-            json.dump(state, out, indent=2, sort_keys=True)
-            out.flush()
-            os.fsync(out.fileno())
-        os.replace(temporary, self.path)
+        text = json.dumps(state, indent=2, sort_keys=True)
+        if self.files is not None:
+            self.files.replace(self.path, text)
+            return
+        folder = Path(self.path).parent
+        folder.mkdir(parents=True, exist_ok=True)
+        os.replace(_written(folder, text), self.path)
 
     @staticmethod
     def _now() -> str:

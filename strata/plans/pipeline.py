@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strata.functions import audit, standardize
 from strata.operators import contract, quality, rules, star
@@ -13,6 +14,7 @@ from strata.operators.calendar import calendar
 from strata.plans.ledger import FAILED, SUCCESS, Ledger
 from strata.plans.store import TableStore
 from strata.session import get_logger
+from strata.sources import archive, pending
 from strata.specs import Pipeline
 
 log = get_logger("strata.pipeline")
@@ -24,7 +26,7 @@ class Layers:
     def __init__(self, spark: SparkSession, spec: Pipeline, root: str, ledger: Ledger | None = None):
         self.spark, self.spec, self.root = spark, spec, root.rstrip("/")
         self.store = TableStore(spark, f"{self.root}/tables")
-        self.ledger = ledger or Ledger(f"{self.root.removeprefix('file://')}/ledger.json")
+        self.ledger = ledger or Ledger(f"{self.root}/ledger.json", self.store.files)
 
     # Layers
 
@@ -120,15 +122,31 @@ class Layers:
         """Batches (name, function that reads it) in order; all that aren't done, not only the newest."""
         return [name for name, read in sources if self.run(read(), name)]
 
+    def run_landing(self, landing: str, done: str, schema: StructType | str | None = None) -> list[str]:
+        """Take every landing file that isn't processed through all layers, oldest first, and move it to `done`."""
+        taken = []
+        for name, read in pending(self.spark, landing, (), schema):
+            if not (self.ledger.complete(name) and name in self.ledger.processed()):
+                self.run(read(), name)
+                taken.append(name)
+            archive(f"{landing.rstrip('/')}/{name}", done)  # also a file that a lost run has left behind
+        return taken
+
     def report(self) -> DataFrame:
-        """Rows of each table and of the quarantine by rule."""
+        """item, row_count: rows of each table and of the quarantine by rule, repeated keys of the current state, what the ledger holds."""
         out = None
         for name in ["bronze", "silver", *(d.name for d in self.spec.dimensions), "dim_date", self.spec.fact.name]:
             if self.store.exists(name):
                 row = self.store.read(name).agg(F.count("*").alias("row_count")).select(F.lit(name).alias("item"), "row_count")
                 out = row if out is None else out.unionAll(row)
-        fs, path = self.store._fs(f"{self.root}/quarantine")
+        fs, path = self.store.files.fs(f"{self.root}/quarantine")
         if fs.exists(path) and any(s.isDirectory() and not s.getPath().getName().startswith("_") for s in fs.listStatus(path)):
             by = self.spark.read.parquet(f"{self.root}/quarantine").groupBy(rules.FAILED).agg(F.count("*").alias("row_count"))
             out = out.unionAll(by.select(F.concat(F.lit("quarantine:"), rules.FAILED), "row_count"))
-        return out
+        if self.store.exists("silver"):
+            again = quality.duplicated(self.store.read("silver"), self.spec.keys).agg(F.count("*").alias("row_count"))
+            out = out.unionAll(again.select(F.lit("silver:repeated_keys"), "row_count"))
+        mark = (self.ledger.watermark() or {}).get("last_processed_file", "none")
+        held = [("ledger:processed", len(self.ledger.processed())), ("ledger:schema_changes", len(self.ledger.schema_changes())), (f"ledger:watermark:{mark}", 1)]
+        held = self.spark.createDataFrame(held, "item string, row_count bigint")
+        return held if out is None else out.unionAll(held)

@@ -19,18 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strata.operators import merge
+from strata.plans.files import ConflictError, SharedFiles
+from strata.plans.scratch import once
 
 BUCKET = "_bucket"
+#: A table of so many segments is rewritten as one, so that reading doesn't become a union of more and more scans.
+MOST_SEGMENTS = 64
+__all__ = ["ConflictError", "Manifest", "MissingTableError", "TableStore"]
 
 
 class MissingTableError(LookupError):
     """A table that is required but isn't there."""
 
 
-class ConflictError(RuntimeError):
-    """Another writer has committed the same version."""
-
-
 @dataclass
 class Manifest:
     version: int
@@ -42,37 +43,12 @@ class Manifest:
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    # Files
-
-    def _fs(self, path: str):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
-
-    def _put_if_absent(self, path: str, text: str) -> None:
-        fs, p = self._fs(path)
-        temporary = f"{path}.{uuid.uuid4().hex}"
-        _, t = self._fs(temporary)
-        out = fs.create(t, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if fs.exists(p) or not fs.rename(t, p):
-            fs.delete(t, False)
-            raise ConflictError(path)
-
-    def _read_text(self, path: str) -> str:
-        fs, p = self._fs(path)
-        stream = fs.open(p)
-        try:
-            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        finally:
-            stream.close()
+        self.spark, self.root, self.files = spark, root.rstrip("/"), SharedFiles(spark)
 
     # Versions
 
     def versions(self, name: str) -> list[int]:
-        fs, p = self._fs(f"{self.root}/{name}/_log")
+        fs, p = self.files.fs(f"{self.root}/{name}/_log")
         if not fs.exists(p):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(p)]
@@ -88,12 +64,12 @@ class TableStore:
         version = known[-1] if version is None else version
         if version not in known:
             raise MissingTableError(f"{name} has no version {version}")
-        raw = json.loads(self._read_text(f"{self.root}/{name}/_log/{version:010d}.json"))
+        raw = json.loads(self.files.read_text(f"{self.root}/{name}/_log/{version:010d}.json"))
         return Manifest(version, StructType.fromJson(raw["schema"]), raw["keys"], raw["buckets"], raw["segments"])
 
     def _commit(self, name: str, m: Manifest) -> int:
         raw = {"schema": m.schema.jsonValue(), "keys": m.keys, "buckets": m.buckets, "segments": m.segments}
-        self._put_if_absent(f"{self.root}/{name}/_log/{m.version:010d}.json", json.dumps(raw))
+        self.files.create(f"{self.root}/{name}/_log/{m.version:010d}.json", json.dumps(raw))
         return m.version
 
     # Reading
@@ -137,7 +113,7 @@ class TableStore:
             # Rows of a bucket meet in some tasks, not one: adaptive execution splits large ones.
             out = out.hint("rebalance", F.col(BUCKET))
         out.write.partitionBy(BUCKET).parquet(path)
-        fs, p = self._fs(path)
+        fs, p = self.files.fs(path)
         found = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith(f"{BUCKET}="))
         return {"dir": folder, "buckets": found, "written": len(found)} if found else None
 
@@ -158,7 +134,17 @@ class TableStore:
         if m is None:
             return self.overwrite(name, df, keys, buckets)
         segment = self._segment(name, df, m.keys, m.buckets)
-        return self._commit(name, Manifest(m.version + 1, self._widened(m.schema, df.schema), m.keys, m.buckets, [*m.segments, *([segment] if segment else [])]))
+        version = self._commit(name, Manifest(m.version + 1, self._widened(m.schema, df.schema), m.keys, m.buckets, [*m.segments, *([segment] if segment else [])]))
+        return self.compact(name) if len(m.segments) >= MOST_SEGMENTS else version
+
+    def compact(self, name: str, buckets: int | None = None) -> int:
+        """The same rows in one segment, as a new version; with `buckets`, laid out in as many. A commit meanwhile raises."""
+        m = self.manifest(name)
+        if m is None:
+            raise MissingTableError(f"table {name} isn't in {self.root}")
+        buckets = buckets or m.buckets
+        segment = self._segment(name, self.read(name, m.version), m.keys, buckets)
+        return self._commit(name, Manifest(m.version + 1, m.schema, m.keys, buckets, [segment] if segment else []))
 
     def insert_only(self, name: str, df: DataFrame, keys: Iterable[str], buckets: int = 1) -> int:
         """Add rows whose keys the table lacks; nothing is rewritten."""
@@ -175,6 +161,7 @@ class TableStore:
             return self.overwrite(name, df, keys, buckets)
         if m.keys != keys:
             raise ValueError(f"{name} is laid out by {m.keys}, not {keys}")
+        df = once(df, "upsert")  # read three times below
         touched = sorted(r[0] for r in self._bucketed(df, keys, m.buckets).select(BUCKET).distinct().collect())  # at most m.buckets
         merged = merge.upsert(self.read(name, buckets=touched), df, keys, preserve)
         segment = self._segment(name, merged, keys, m.buckets)
@@ -193,9 +180,9 @@ class TableStore:
         """Drop all but the last `keep` versions and segments that none of them has."""
         known = self.versions(name)
         used = {s["dir"] for v in known[-keep:] for s in self.manifest(name, v).segments}
-        fs, p = self._fs(f"{self.root}/{name}")
+        fs, p = self.files.fs(f"{self.root}/{name}")
         for v in known[:-keep]:
-            fs.delete(self._fs(f"{self.root}/{name}/_log/{v:010d}.json")[1], False)
+            fs.delete(self.files.fs(f"{self.root}/{name}/_log/{v:010d}.json")[1], False)
         for s in fs.listStatus(p):
             if s.getPath().getName().startswith("seg-") and s.getPath().getName() not in used:
                 fs.delete(s.getPath(), True)

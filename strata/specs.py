@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,3 +97,28 @@ class Pipeline:
     strict_nulls: bool = True
     buckets: int = 16
     options: dict = field(default_factory=dict, hash=False)
+
+
+def load(path: str | Path) -> Pipeline:
+    """A pipeline from a JSON file: the fields of the classes above; rules as [kind, name, arguments ...]."""
+    return from_dict(json.loads(Path(path).read_text()))
+
+
+def from_dict(raw: dict) -> Pipeline:
+    kinds = {f.__name__: f for f in (not_null, not_after, in_domain, unique)}
+
+    def fixed(value):
+        return tuple(map(fixed, value)) if isinstance(value, list) else value
+
+    def lookups(values: list[dict]) -> tuple[Lookup, ...]:
+        return tuple(Lookup(**{k: fixed(v) for k, v in x.items()}) for x in values)
+
+    def dimension(x: dict) -> Dimension:
+        return Dimension(**({k: fixed(v) for k, v in x.items()} | {"parents": lookups(x.get("parents", []))}))
+
+    unknown = {r[0] for r in raw["rules"]} - kinds.keys()
+    if unknown:
+        raise ValueError(f"no such kinds of rules: {sorted(unknown)}")
+    fact = Fact(**({k: fixed(v) for k, v in raw["fact"].items()} | {"lookups": lookups(raw["fact"]["lookups"])}))
+    made = {"rules": tuple(kinds[k](*rest) for k, *rest in raw["rules"]), "dimensions": tuple(map(dimension, raw["dimensions"])), "fact": fact}
+    return Pipeline(**({k: v if k == "options" else fixed(v) for k, v in raw.items()} | made))

@@ -21,7 +21,7 @@ def ingest(
         from pyspark.sql import functions as F
 
         if keys:
-            store.upsert(table, batch, keys, buckets)
+            store.upsert(table, batch, keys, buckets)  # which writes the batch out before it reads it again
             return
         have = store.read_or_none(table)
         if have is None or have.where(F.col("batch_number") == number).isEmpty():

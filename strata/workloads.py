@@ -13,10 +13,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions import standardize
+from strata.functions import audit, standardize
 from strata.operators import contract, keys, merge, quality, rules, star
 from strata.operators.calendar import calendar
-from strata.plans.ledger import Ledger
 from strata.plans.pipeline import Layers
 from strata.plans.scratch import folder
 from strata.plans.store import TableStore
@@ -237,7 +236,7 @@ def q_quarantine_roundtrip(spark, sf_dir):
 
 @query(f"WITH {ADM} SELECT episode_id, admission_date FROM adm WHERE admission_date > DATE '{CUT}'")
 def q_high_water(spark, sf_dir):
-    return admissions(spark, sf_dir).where(F.col("admission_date") > F.lit(CUT).cast("date")).select("episode_id", "admission_date")
+    return merge.newer_than(admissions(spark, sf_dir), "admission_date", CUT).select("episode_id", "admission_date")
 
 
 @query(f"WITH {ADM}, s AS (SELECT * FROM adm WHERE admission_date < DATE '{CUT}') SELECT episode_id, patient_id FROM adm ANTI JOIN s USING (episode_id)")
@@ -294,7 +293,7 @@ def q_store_upsert(spark, sf_dir):
 @query(f"WITH {BATCHES} SELECT episode_id, 'a.parquet' AS source_file FROM b1 UNION ALL SELECT episode_id, 'b.parquet' FROM b2")
 def q_append_once(spark, sf_dir):
     root = folder(spark)
-    layers = Layers(spark, MEDALLION, root, Ledger(Path(tempfile.mkdtemp()) / "ledger.json"))
+    layers = Layers(spark, MEDALLION, root)
     first, second = _batches(spark, sf_dir)
     for df, batch in ((first, "a.parquet"), (first, "a.parquet"), (second, "b.parquet"), (second, "b.parquet")):
         layers.bronze(df, batch)
@@ -316,8 +315,8 @@ def q_calendar(spark, sf_dir):
     return calendar(spark)
 
 
-SITES = f"SELECT CAST(row_number() OVER (ORDER BY hospital) AS INT) AS site_key, hospital FROM (SELECT DISTINCT {INITCAP.format('hospital')} AS hospital FROM {{0}})"
-RAW_SITES = "SELECT CAST(row_number() OVER (ORDER BY hospital) AS INT) AS site_key, hospital FROM (SELECT DISTINCT hospital FROM {0} WHERE hospital IS NOT NULL)"
+SITES = f"SELECT CAST(row_number() OVER (ORDER BY hospital) AS BIGINT) AS site_key, hospital FROM (SELECT DISTINCT {INITCAP.format('hospital')} AS hospital FROM {{0}})"
+RAW_SITES = "SELECT CAST(row_number() OVER (ORDER BY hospital) AS BIGINT) AS site_key, hospital FROM (SELECT DISTINCT hospital FROM {0} WHERE hospital IS NOT NULL)"
 FIRST = f"{ADM}, f AS (SELECT * FROM adm WHERE admission_date < DATE '1995-01-03')"
 
 
@@ -332,14 +331,14 @@ def _first(spark, sf_dir) -> DataFrame:
 
 @query(
     f"""WITH {FIRST}, e AS ({SITES.format('f')}), n AS (SELECT DISTINCT {INITCAP.format('hospital')} AS hospital FROM adm)
-    SELECT CAST(row_number() OVER (ORDER BY hospital) + (SELECT coalesce(max(site_key), 0) FROM e) AS INT) AS site_key, hospital FROM n ANTI JOIN e USING (hospital)"""
+    SELECT CAST(row_number() OVER (ORDER BY hospital) + (SELECT coalesce(max(site_key), 0) FROM e) AS BIGINT) AS site_key, hospital FROM n ANTI JOIN e USING (hospital)"""
 )
 def q_dim_site_incremental(spark, sf_dir):
     existing = star.new_members(_first(spark, sf_dir), SITE, None, {})
     return star.new_members(admissions(spark, sf_dir), SITE, existing, {})
 
 
-UNITS = """SELECT CAST(dense_rank() OVER (ORDER BY site_key, department) AS INT) AS unit_key, site_key, department
+UNITS = """SELECT CAST(dense_rank() OVER (ORDER BY site_key, department) AS BIGINT) AS unit_key, site_key, department
     FROM (SELECT DISTINCT site_key, department FROM {0} JOIN site USING (hospital) WHERE department IS NOT NULL)"""
 
 
@@ -352,7 +351,7 @@ def q_dim_unit_initial(spark, sf_dir):
 @query(
     f"""WITH {FIRST}, site AS ({RAW_SITES.format('adm')}), e AS ({UNITS.format('f')}),
     n AS (SELECT DISTINCT site_key, department FROM adm JOIN site USING (hospital))
-    SELECT CAST(dense_rank() OVER (ORDER BY site_key, department) + (SELECT max(unit_key) FROM e) AS INT) AS unit_key, site_key, department FROM n ANTI JOIN e USING (site_key, department)"""
+    SELECT CAST(dense_rank() OVER (ORDER BY site_key, department) + (SELECT max(unit_key) FROM e) AS BIGINT) AS unit_key, site_key, department FROM n ANTI JOIN e USING (site_key, department)"""
 )
 def q_dim_unit_incremental(spark, sf_dir):
     df = admissions(spark, sf_dir)
@@ -360,7 +359,7 @@ def q_dim_unit_incremental(spark, sf_dir):
     return star.new_members(df, UNIT, star.new_members(_first(spark, sf_dir), UNIT, None, tables), tables)
 
 
-PERSONS = """SELECT CAST(dense_rank() OVER (ORDER BY patient_id) AS INT) AS person_key, patient_id, patient_name
+PERSONS = """SELECT CAST(dense_rank() OVER (ORDER BY patient_id) AS BIGINT) AS person_key, patient_id, patient_name
     FROM (SELECT patient_id, arg_min(patient_name, episode_id) AS patient_name FROM {0} WHERE patient_id IS NOT NULL GROUP BY 1)"""
 
 
@@ -371,7 +370,7 @@ def q_dim_person_initial(spark, sf_dir):
 
 @query(
     f"""WITH {BATCHES}, e AS ({PERSONS.format("(SELECT * FROM b1 WHERE admission_date < DATE '1995-03-01')")}), n AS ({PERSONS.format('adm')})
-    SELECT CAST(dense_rank() OVER (ORDER BY patient_id) + (SELECT max(person_key) FROM e) AS INT) AS person_key, patient_id, patient_name FROM n ANTI JOIN e USING (patient_id)"""
+    SELECT CAST(dense_rank() OVER (ORDER BY patient_id) + (SELECT max(person_key) FROM e) AS BIGINT) AS person_key, patient_id, patient_name FROM n ANTI JOIN e USING (patient_id)"""
 )
 def q_dim_person_incremental(spark, sf_dir):
     df = admissions(spark, sf_dir)
@@ -385,7 +384,7 @@ STAR = f"""{BATCHES}, {CAL.format('1992-01-01', '2005-12-31')}, dates AS (SELECT
     looked AS (SELECT episode_id, person_key, site.site_key, unit_key, date_key, ward, admission_type, admission_date FROM adm
         LEFT JOIN person USING (patient_id) LEFT JOIN site USING (hospital)
         LEFT JOIN unit ON unit.site_key = site.site_key AND unit.department = adm.department LEFT JOIN dates ON full_date = admission_date),
-    f1 AS (SELECT CAST(row_number() OVER (ORDER BY person_key, date_key, site_key, unit_key, episode_id) AS INT) AS fact_key, * EXCLUDE (admission_date)
+    f1 AS (SELECT CAST(row_number() OVER (ORDER BY person_key, date_key, site_key, unit_key, episode_id) AS BIGINT) AS fact_key, * EXCLUDE (admission_date)
         FROM looked WHERE admission_date < DATE '{CUT}')"""
 
 
@@ -403,7 +402,7 @@ def q_fact_initial(spark, sf_dir):
 
 
 @query(
-    f"""WITH {STAR} SELECT CAST(row_number() OVER (ORDER BY person_key, date_key, site_key, unit_key, episode_id) + (SELECT max(fact_key) FROM f1) AS INT) AS fact_key, * EXCLUDE (admission_date)
+    f"""WITH {STAR} SELECT CAST(row_number() OVER (ORDER BY person_key, date_key, site_key, unit_key, episode_id) + (SELECT max(fact_key) FROM f1) AS BIGINT) AS fact_key, * EXCLUDE (admission_date)
     FROM looked ANTI JOIN f1 USING (episode_id)"""
 )
 def q_fact_incremental(spark, sf_dir):
@@ -434,7 +433,7 @@ def q_fact_unresolved(spark, sf_dir):
 def q_quality_dimension(spark, sf_dir):
     person = star.new_members(admissions(spark, sf_dir), PERSON, None, {})
     k = F.col("person_key")
-    broken = person.select(F.when(k % 50 == 0, None).otherwise(F.floor(k / 2).cast("int")).alias("person_key"))
+    broken = person.select(F.when(k % 50 == 0, None).otherwise(F.floor(k / 2)).alias("person_key"))
     return quality.dimension_quality(person, "dim_person", "person_key").unionAll(quality.dimension_quality(broken, "dim_broken", "person_key"))
 
 
@@ -530,12 +529,12 @@ def q_jdbc_roundtrip(spark, sf_dir):
     return spark.createDataFrame(df.collect(), df.schema)  # 20 rows, free of the temporary database
 
 
-@query(f"WITH {BATCHES} SELECT count(*) AS fact_rows, 'FAILED,SUCCESS' AS gold_states FROM b1")
+@query(f"WITH {ADM} SELECT count(*) AS fact_rows, 'FAILED,SUCCESS' AS gold_states FROM adm")
 def q_resume(spark, sf_dir):
     """A run that fails in the last layer and, run again, does that layer only."""
     root, states = folder(spark), []
-    layers = Layers(spark, MEDALLION, root, Ledger(Path(tempfile.mkdtemp()) / "ledger.json"))
-    df, gold = before(admissions(spark, sf_dir), CUT), layers.gold
+    layers = Layers(spark, MEDALLION, root)
+    df, gold = admissions(spark, sf_dir), layers.gold
     layers.gold = lambda: (_ for _ in ()).throw(OSError("lost"))
     for _ in range(2):
         try:
@@ -565,7 +564,7 @@ MEDALLION_SQL = f"""WITH {STAR} SELECT f.episode_id, p.patient_name, s.hospital,
 def q_medallion(spark, sf_dir):
     """Two batches through all layers; the second overlaps the first and is given twice."""
     root = folder(spark)
-    layers = Layers(spark, MEDALLION, root, Ledger(Path(tempfile.mkdtemp()) / "ledger.json"))
+    layers = Layers(spark, MEDALLION, root)
     df = admissions(spark, sf_dir)
     for rows, batch in ((before(df, CUT), "batch_1"), (since(df, LATER), "batch_2"), (since(df, LATER), "batch_2")):
         layers.run(rows, batch)
@@ -575,9 +574,81 @@ def q_medallion(spark, sf_dir):
     return joined.select("episode_id", "patient_name", "hospital", "department", F.col("full_date").alias("admission_date"), "ward", "admission_type")
 
 
-@query()
+REPORT_SQL = f"""WITH {STAR} SELECT 'bronze' AS item, count(*) + 2 AS row_count FROM adm UNION ALL SELECT 'silver', count(*) FROM adm
+    UNION ALL SELECT 'dim_site', count(*) FROM site UNION ALL SELECT 'dim_unit', count(*) FROM unit UNION ALL SELECT 'dim_person', count(*) FROM person
+    UNION ALL SELECT 'dim_date', count(*) FROM dates UNION ALL SELECT 'fact_admission', count(*) FROM adm
+    UNION ALL SELECT 'quarantine:missing_patient', 2 UNION ALL SELECT 'silver:repeated_keys', 0 UNION ALL SELECT 'ledger:processed', 2
+    UNION ALL SELECT 'ledger:schema_changes', 0 UNION ALL SELECT 'ledger:watermark:batch_2', 1"""
+
+
+@query(REPORT_SQL)
 def q_layer_report(spark, sf_dir):
-    root = folder(spark)
-    layers = Layers(spark, MEDALLION, root, Ledger(Path(tempfile.mkdtemp()) / "ledger.json"))
-    layers.run(before(admissions(spark, sf_dir), CUT), "batch_1")
+    """Every admission in one batch, then two rows without a patient."""
+    layers = Layers(spark, MEDALLION, folder(spark))
+    df = admissions(spark, sf_dir)
+    layers.run(df, "batch_1")
+    layers.run(df.orderBy("episode_id").limit(2).withColumn("patient_id", F.lit(None).cast("long")).withColumn("episode_id", -F.col("episode_id")), "batch_2")
     return layers.report()
+
+
+@query(f"WITH {ADM} SELECT * FROM (VALUES ('one.parquet', 1, true), ('two.parquet', 2, true)) t(file, position, archived), (SELECT count(*) AS silver_rows FROM adm)")
+def q_landing_run(spark, sf_dir):
+    """Landing files, oldest first whatever their names, taken through all layers and moved away; a second call finds nothing."""
+    import os
+
+    root = Path(tempfile.mkdtemp(prefix="strata-"))
+    first, second = before(admissions(spark, sf_dir), CUT), since(admissions(spark, sf_dir), LATER)
+    for when, (name, rows) in enumerate((("one.parquet", first), ("two.parquet", second)), 1):
+        rows.write.parquet(f"file://{root}/landing/{name}")
+        os.utime(root / "landing" / name, (when, when))
+    layers = Layers(spark, MEDALLION, folder(spark))
+    taken = layers.run_landing(str(root / "landing"), str(root / "done")) + layers.run_landing(str(root / "landing"), str(root / "done"))
+    rows = [(name, k, (root / "done" / name).exists() and not (root / "landing" / name).exists()) for k, name in enumerate(taken, 1)]
+    counted = layers.store.read("silver").agg(F.count("*").alias("silver_rows"))
+    return spark.createDataFrame(rows, "file string, position int, archived boolean").crossJoin(counted)  # one row
+
+
+@query(
+    f"""WITH {ADM} SELECT episode_id, TIMESTAMP '2026-01-10 10:00:00' AS created_at, TIMESTAMP '2026-01-10 10:00:00' AS updated_at, 'admissions' AS pipeline_name, 'batch_1' AS batch_id FROM adm"""
+)
+def q_audit_columns(spark, sf_dir):
+    """The clock is an argument."""
+    return audit(admissions(spark, sf_dir).select("episode_id"), "admissions", "batch_1", F.lit("2026-01-10 10:00:00").cast("timestamp_ntz"))
+
+
+@query(f"WITH {ADM} SELECT episode_id, CASE WHEN episode_id % 5 = 0 THEN NULL ELSE admission_date END AS admission_date FROM adm")
+def q_date_coercion(spark, sf_dir):
+    """Texts in another format are parsed, unreadable ones become NULL."""
+    text = F.when(F.col("episode_id") % 5 == 0, "31.02.1999").otherwise(F.date_format("admission_date", "dd.MM.yyyy"))
+    return standardize(admissions(spark, sf_dir).select("episode_id", text.alias("admission_date")), ["admission_date"], "dd.MM.yyyy")
+
+
+@query(f"""WITH {BATCHES} SELECT * FROM (VALUES (0, false)) t(version, exists_), (SELECT 0::BIGINT AS row_count) UNION ALL SELECT 1, true, count(*) FROM b1
+    UNION ALL SELECT 2, true, (SELECT count(*) FROM b1) + (SELECT count(*) FROM b2) FROM (SELECT 1) UNION ALL SELECT 3, true, (SELECT count(*) FROM b1) + (SELECT count(*) FROM b2) FROM (SELECT 1)""")
+def q_store_versions(spark, sf_dir):
+    """A table that isn't there, its first version, an append, and the same rows compacted; each version is read by number."""
+    store = TableStore(spark, folder(spark))
+    first, second = _batches(spark, sf_dir)
+    missing = (0, store.read_or_none("raw") is not None, 0)
+    store.append("raw", first, ["episode_id"], 4)
+    store.append("raw", second)
+    store.compact("raw", 8)
+    out = spark.createDataFrame([missing], "version int, exists_ boolean, row_count bigint")
+    for version in store.versions("raw"):
+        out = out.unionAll(store.read("raw", version).agg(F.lit(version).alias("version"), F.lit(True).alias("exists_"), F.count("*").alias("row_count")))
+    return out
+
+
+@query("SELECT * FROM (VALUES ('batch_2', 'admission_source', '', 'batch_2', 2)) t(batch, new_columns, removed_columns, last_processed_file, processed)")
+def q_registry(spark, sf_dir):
+    """The registered change of a batch with a new column, the watermark and the processed list, read by another ledger object."""
+    root = folder(spark)
+    layers = Layers(spark, MEDALLION, root)
+    df = admissions(spark, sf_dir)
+    layers.bronze(df, "batch_1")
+    layers.ledger.finish("batch_1")
+    layers.bronze(df.withColumn("admission_source", F.lit("GP")), "batch_2")
+    layers.ledger.finish("batch_2")
+    again = Layers(spark, MEDALLION, root).ledger
+    rows = [(c["batch"], ",".join(c["new_columns"]), ",".join(c["removed_columns"]), again.watermark()["last_processed_file"], len(again.processed())) for c in again.schema_changes()]
+    return spark.createDataFrame(rows, "batch string, new_columns string, removed_columns string, last_processed_file string, processed int")

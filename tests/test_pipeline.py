@@ -1,6 +1,7 @@
 """Star schema, quality gates, ledgers, sources, the stream, and runs that fail and resume."""
 
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -14,7 +15,7 @@ from strata.plans.ledger import Ledger
 from strata.plans.store import TableStore
 from strata.session import get_logger
 from strata.sources import archive, pending, read_file, write_xlsx
-from strata.specs import Dimension, Fact, Lookup, Pipeline, in_domain, not_null, unique
+from strata.specs import Dimension, Fact, Lookup, Pipeline, from_dict, in_domain, load, not_null, unique
 from strata.streaming import ingest
 
 COLUMNS = "episode_id string, patient_id string, patient_name string, date_of_birth date, gender string, hospital string, department string, ward string, admission_date date, admission_type string"
@@ -212,3 +213,48 @@ def test_entry_imports_without_corpus_operators(monkeypatch):
     bare = importlib.import_module("__spark_entry__")
     assert "q_medallion" in bare.queries() and not any(q.startswith("op") for q in bare.queries()) and "q_medallion" in bare.oracle_sql()
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+CONFIG = {
+    "name": "healthcare",
+    "required": ["episode_id", "patient_id"],
+    "keys": ["episode_id"],
+    "rules": [["not_null", "patient", "patient_id"], ["unique", "episode", "episode_id"], ["in_domain", "type", "admission_type", "Emergency", "Elective"]],
+    "dimensions": [
+        {"name": "dim_hospital", "key": "hospital_key", "natural": ["hospital"], "audit": False},
+        {"name": "dim_patient", "key": "patient_key", "natural": ["patient_id"], "attributes": ["patient_name"], "survivor": ["episode_id"]},
+    ],
+    "fact": {
+        "name": "fact",
+        "key": "fact_key",
+        "natural": ["episode_id"],
+        "lookups": [{"dimension": "dim_patient", "key": "patient_key", "on": [["patient_id", "patient_id"]]}, {"dimension": "dim_hospital", "key": "hospital_key", "on": [["hospital", "hospital"]]}],
+        "order": ["patient_key", "episode_id"],
+        "columns": ["ward"],
+    },
+    "buckets": 2,
+}
+
+
+def test_landing_folder_with_a_pipeline_from_a_file(spark, tmp_path):
+    """Oldest file first; a file that another driver has taken is only moved; the ledger lies beside the tables."""
+    (tmp_path / "pipeline.json").write_text(json.dumps(CONFIG))
+    spec = load(tmp_path / "pipeline.json")
+    assert spec.dimensions[0] == SITE and spec.fact.lookups[0].on == (("patient_id", "patient_id"),)
+    with pytest.raises(ValueError, match="kinds of rules"):
+        from_dict(CONFIG | {"rules": [["no_such", "x", "y"]]})
+    landing = tmp_path / "landing"
+    for when, (name, rows) in enumerate((("b.json", [E1, E2]), ("a.json", [E3])), 1):
+        landing.mkdir(exist_ok=True)
+        (landing / name).write_text("\n".join(json.dumps(dict(zip((c.split()[0] for c in COLUMNS.split(", ")), map(str, r), strict=True))) for r in rows))
+        os.utime(landing / name, (when, when))
+    first = pl.Layers(spark, spec, f"file://{tmp_path}/lake")
+    assert first.run_landing(str(landing), str(tmp_path / "done"), COLUMNS) == ["b.json", "a.json"]
+    assert (tmp_path / "lake" / "ledger.json").exists() and not list(landing.iterdir())
+    (tmp_path / "done" / "a.json").rename(landing / "a.json")
+    other = pl.Layers(spark, spec, f"file://{tmp_path}/lake")
+    assert other.run_landing(str(landing), str(tmp_path / "done"), COLUMNS) == [] and (tmp_path / "done" / "a.json").exists()
+    counts = {r.item: r.row_count for r in other.report().collect()}
+    assert counts["silver"] == 3 and counts["silver:repeated_keys"] == 0 and counts["ledger:processed"] == 2 and counts["ledger:watermark:a.json"] == 1
+    keys = other.store.read("fact").schema["fact_key"].dataType.simpleString()
+    assert keys == "bigint"

@@ -1,10 +1,14 @@
 """Merges, the snapshot store and surrogate keys."""
 
+import threading
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from strata.operators import keys, merge
+from strata.plans import store as store_module
+from strata.plans.files import SharedFiles
 from strata.plans.store import ConflictError, MissingTableError, TableStore
 
 PAIRS = st.lists(st.tuples(st.sampled_from([1, 2, 3, 4, None]), st.integers(0, 9)), max_size=8)
@@ -84,3 +88,46 @@ def test_keys_continue(spark):
     new = spark.createDataFrame([("Royal",), ("New",), ("Alder",)], "site string")
     assert sorted(tuple(r) for r in keys.assign(new, existing, ["site"], "site_key").collect()) == [(3, "Alder"), (4, "New")]
     assert keys.assign(new.limit(0), existing, ["site"], "site_key").count() == 0
+
+
+def test_one_of_many_writers_creates_a_file(spark, tmp_path):
+    files, won = SharedFiles(spark), []
+
+    def write(k):
+        try:
+            files.create(f"file://{tmp_path}/log/1.json", str(k) * 1000)
+            won.append(k)
+        except ConflictError:
+            pass
+
+    writers = [threading.Thread(target=write, args=(k,)) for k in range(8)]
+    for t in writers:
+        t.start()
+    for t in writers:
+        t.join()
+    assert len(won) == 1 and files.read_text(f"file://{tmp_path}/log/1.json") == str(won[0]) * 1000
+    assert [p.name for p in (tmp_path / "log").iterdir()] == ["1.json"]
+    files.replace(f"file://{tmp_path}/log/1.json", "new")
+    assert files.read_text(f"file://{tmp_path}/log/1.json") == "new"
+    # The steps that other file systems take.
+    files._write(f"file://{tmp_path}/a", "x", False)
+    files._rename(f"file://{tmp_path}/a", f"file://{tmp_path}/b", False)
+    files._write(f"file://{tmp_path}/a", "y", False)
+    with pytest.raises(Exception, match="AlreadyExists|already exists"):
+        files._rename(f"file://{tmp_path}/a", f"file://{tmp_path}/b", False)
+    files._rename(f"file://{tmp_path}/a", f"file://{tmp_path}/b", True)
+    assert files.read_text(f"file://{tmp_path}/b") == "y"
+
+
+def test_segments_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MOST_SEGMENTS", 3)
+    store = TableStore(spark, f"file://{tmp_path}/tables")
+    for k in range(5):
+        store.append("t", spark.range(10 * k, 10 * k + 10).withColumnRenamed("id", "k"), ["k"], 2)
+    assert len(store.manifest("t").segments) <= 3 and store.read("t").count() == 50
+    store.compact("t", 5)
+    assert len(store.manifest("t").segments) == 1 and store.manifest("t").buckets == 5
+    store.upsert("t", spark.createDataFrame([(3,), (99,)], "k long"), ["k"])
+    assert sorted(r.k for r in store.read("t").collect()) == [*range(50), 99]
+    with pytest.raises(MissingTableError):
+        store.compact("none")
