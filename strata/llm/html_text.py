@@ -9,7 +9,7 @@ total cost: short blocks go with what they stand among, and weak text can't over
 
 The classifier is trained here, by distant supervision: blocks below elements that say what they are (article, main; nav,
 footer, aside, ...) label its features, which don't include those elements. fit() reads at most `rows` pages and
-`characters` of them, by a hash of the url and id; its weights are pulled to PRIOR, so few labels change little.
+`characters` of them, by a hash of id, url and html; its weights are pulled to PRIOR, so few labels change little.
 
 Defined cases: null or empty html gives an empty text; unclosed, stray and overlapping tags are read as browsers read
 them as far as blocks are concerned; character references are decoded, also without their semicolon; repeated rows each
@@ -294,11 +294,15 @@ def train(pages: list[str]) -> tuple[float, ...]:
 
 
 def fit(pages: DataFrame, rows: int = ROWS, characters: int = CHARACTERS) -> tuple[float, ...]:
-    """Train on at most `rows` pages, of at most `characters` in all and a tenth of that each."""
+    """Train on at most `rows` pages, of at most `characters` in all and a hundredth of that each."""
     html_ = F.col("html").cast("string")
-    some = pages.select(html_.alias("html"), F.xxhash64(whole_id("page_id"), F.col("url").cast("string")).alias("h")).where(F.length(html_) * 10 <= characters)
+    some = pages.select(html_.alias("html"), F.xxhash64(whole_id("page_id"), F.col("url").cast("string"), html_).alias("h")).where(F.length(html_) * 100 <= characters)
+    # Hashes are sorted first, so no more pages move than are read; copies have one hash and count once.
+    bound = some.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if bound is None:
+        return PRIOR
     read, taken = 0, []
-    for row in some.orderBy("h", F.xxhash64("html")).limit(rows).toLocalIterator():
+    for row in sorted(some.where(F.col("h") <= bound).groupBy("h").agg(F.first("html").alias("html")).toLocalIterator(), key=lambda r: r.h):
         read += len(row.html)
         if read > characters:
             break
