@@ -14,6 +14,10 @@ class ContractError(ValueError):
     """A batch whose schema the policy rejects."""
 
 
+#: The reasons that decisions give.
+RETYPED, REMOVED, APPROVED = "Data type changes detected.", "Columns have been removed.", "Schema approved."
+
+
 @dataclass(frozen=True)
 class Difference:
     new_columns: tuple[str, ...] = ()
@@ -58,10 +62,10 @@ def difference(existing: StructType, incoming: StructType) -> Difference:
 def decide(diff: Difference, optional: Iterable[str] = ()) -> Decision:
     """Changed types, then removed columns (but optional ones), are rejected; new columns are approved."""
     if diff.type_changes:
-        return Decision(False, "Data type changes detected.")
+        return Decision(False, RETYPED)
     if set(diff.removed_columns) - set(optional):
-        return Decision(False, "Columns have been removed.")
-    return Decision(True, "Schema approved.")
+        return Decision(False, REMOVED)
+    return Decision(True, APPROVED)
 
 
 def enforce(existing: StructType | None, incoming: StructType, optional: Iterable[str] = ()) -> Difference:
