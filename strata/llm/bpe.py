@@ -316,8 +316,11 @@ class Vocabulary:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id_column, n_tokens long, ids binary (little-endian unsigned 32-bit). No shuffle."""
+def encode(df: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text", decoded: bool = False) -> DataFrame:
+    """Per row: id_column, n_tokens long, ids binary (little-endian unsigned 32-bit). No shuffle.
+
+    With `decoded` also the bytes that those ids stand for, decoded in the same Python worker.
+    """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file, whatever the input
 
@@ -326,10 +329,14 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", tex
         for batch in batches:
             ids = own.encode([t or "" for t in batch.column(1).to_pylist()], memo)
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], [id_column, "n_tokens", "ids"])
+            columns = {id_column: batch.column(0), "n_tokens": counts, "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                columns["decoded"] = pa.array(map(own.decode, ids), pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind = df.schema[id_column].dataType.simpleString()
-    return map_arrow(df.select(id_column, text_column), work, f"`{id_column}` {kind}, n_tokens bigint, ids binary")
+    schema = f"`{id_column}` {kind}, n_tokens bigint, ids binary" + ", decoded binary" * decoded
+    return map_arrow(df.select(id_column, text_column), work, schema)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_column: str = "ids") -> DataFrame:
@@ -348,5 +355,5 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_column: str = "ids") -> Da
 
 def round_trip(spark: SparkSession, df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(df, vocabulary), vocabulary)
+    both = encode(df, vocabulary, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -83,5 +83,7 @@ def test_query_rows(spark, both):
         for i, t, _ in rows
     )
     assert sorted((str(r.doc_id), *r[1:]) for r in got) == want
+    apart = bpe.decode(bpe.encode(spark.createDataFrame(rows, "doc_id long, text string, n_tokens long"), own), own).collect()
+    assert sorted((str(r.doc_id), bytes(r.decoded)) for r in apart) == sorted((str(i), (t or "").encode()) for i, t, _ in rows)
     empty = bpe.round_trip(spark, spark.createDataFrame([], "doc_id long, text string"), own)
     assert empty.count() == 0
