@@ -61,7 +61,7 @@ PURE = 0.9
 #: Positions of words that the kernel takes at a time; what reaches over is carried on, so words of any length are whole.
 CHUNK = 64
 #: Characters of a batch of words, and of the remembered words of a reader (an entry counts as 100 more).
-CELLS, MEMO = 1 << 20, 90_000_000
+CELLS, MEMO = 1 << 20, 30_000_000
 #: Digits and signs that stand for letters.
 STANDS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S){3,}(?!\S)")
