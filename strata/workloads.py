@@ -19,7 +19,7 @@ from strata.operators.calendar import calendar
 from strata.plans.pipeline import Layers
 from strata.plans.scratch import folder
 from strata.plans.store import TableStore
-from strata.sources import jdbc, read_file, write_xlsx
+from strata.sources import DERBY, derby_table, jdbc, read_file, write_xlsx
 from strata.specs import Dimension, Fact, Lookup, Pipeline, in_domain, not_after, not_null, unique
 from strata.streaming import ingest
 
@@ -521,12 +521,9 @@ def q_xlsx_roundtrip(spark, sf_dir):
 
 @query("SELECT CAST(n_nationkey AS INT) AS id, n_name AS name FROM nation WHERE n_nationkey >= 5")
 def q_jdbc_roundtrip(spark, sf_dir):
-    """Through Derby, which runs in the driver's JVM and comes with Spark. The filter is pushed to the database."""
-    url, driver = f"jdbc:derby:{tempfile.mkdtemp(prefix='strata-')}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    """Through Derby, written by the driver and read by executors. The filter is pushed to the database."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("name"))
-    nations.write.format("jdbc").option("url", url).option("dbtable", "nations").option("driver", driver).save()
-    df = jdbc(spark, url, "nations", driver).where("id >= 5")
-    return spark.createDataFrame(df.collect(), df.schema)  # 20 rows, free of the temporary database
+    return jdbc(spark, derby_table(nations, "nations"), "nations", DERBY).where("id >= 5")
 
 
 @query(f"WITH {ADM} SELECT count(*) AS fact_rows, 'FAILED,SUCCESS' AS gold_states FROM adm")

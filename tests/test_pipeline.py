@@ -3,7 +3,11 @@
 import datetime as dt
 import json
 import os
+import subprocess
+import sys
+from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +190,52 @@ def test_jdbc(spark, tmp_path):
     assert got.rdd.getNumPartitions() == 4 and got.where("id < 5").count() == 5
 
 
+ROUNDTRIP = """
+import sys
+from pyspark.sql import SparkSession
+from strata import workloads
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.driver.host", "127.0.0.1").config("spark.ui.enabled", "false").getOrCreate()
+try:
+    print("GOT", sorted(map(tuple, workloads.q_jdbc_roundtrip(spark, sys.argv[1]).collect())))
+finally:
+    spark.stop()
+"""
+
+
+def test_jdbc_roundtrip_with_executors_of_their_own(spark, tmp_path):
+    """Executors in JVMs of their own reach no database that the driver holds open."""
+    want = [(n, f"N{n}") for n in range(25)]
+    spark.createDataFrame(want, "n_nationkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    home, repo = tmp_path / "home", Path(w.__file__).parents[1]
+    home.mkdir()
+    for part in Path(pyspark.__file__).parent.iterdir():  # executors log to Spark's home
+        if part.name != "work":
+            (home / part.name).symlink_to(part)
+    env = os.environ | {"PYTHONPATH": f"{repo}:{os.environ.get('PYTHONPATH', '')}", "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": f"{tmp_path}/local"}
+    run = subprocess.run([sys.executable, "-c", ROUNDTRIP, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert f"GOT {want[5:]}" in run.stdout, run.stderr[-3000:]
+
+
+def test_derby_table_keeps_rows_and_types(spark):
+    from strata.sources import DERBY, derby_table, jdbc
+
+    df = spark.range(1200).selectExpr(
+        "id",
+        "if(id = 7, null, cast(id as int)) as n",
+        "if(id = 7, null, concat('é ', repeat('x', if(id % 100 = 0, 40000, 9)))) as name",
+        "if(id = 7, null, date_add(date'2020-02-28', cast(id as int))) as day",
+        "if(id = 7, null, cast(id / 4 as decimal(12, 2))) as amount",
+        "if(id = 7, null, id / 8.0d) as share",
+        "if(id = 7, null, id % 2 = 0) as even",
+    )
+    url = derby_table(df, "rows_of_all")
+    for part in (None, ("id", "0", "1200", 4)):
+        got = jdbc(spark, url, "rows_of_all", DERBY, part)
+        assert got.dtypes == df.dtypes and got.exceptAll(df).isEmpty() and df.exceptAll(got).isEmpty()
+    empty = jdbc(spark, derby_table(df.where("id < 0"), "nothing"), "nothing", DERBY)
+    assert empty.dtypes == df.dtypes and empty.isEmpty()
+
+
 def test_stream_appends_once(spark, tmp_path):
     store = TableStore(spark, f"file://{tmp_path}/tables")
     for n in (1, 2):
